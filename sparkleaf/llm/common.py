@@ -98,13 +98,12 @@ class WordHashes:
         self.rows, self.table = rows, {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        table, new = self.table, set(words)
+        table, digest = self.table, xxhash.xxh3_64_intdigest
         if len(table) > self.rows:
             table.clear()
-        new.difference_update(table)
-        digest = xxhash.xxh3_64_intdigest
-        for w in new:
-            table[w] = digest(w)
+        for w in set(words):
+            if w not in table:
+                table[w] = digest(w)
         return np.fromiter(map(table.__getitem__, words), U64, len(words))
 
 
