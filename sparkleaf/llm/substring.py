@@ -231,8 +231,8 @@ def dedup_substrings(docs: DataFrame, words: int = 13) -> DataFrame:
     digests = settle(base.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest")), "digests")
     first = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     copies = settle(digests.join(first, "digest").where(F.col("doc_id") > F.col("first")).select("doc_id").distinct(), "copies")
-    anchors = settle(shared_anchors(base, words).groupBy("doc_id").agg(F.collect_list("found").alias("found")).join(copies, "doc_id", "left_anti"), "anchors")
-    windows = later_windows(base.join(anchors, "doc_id"), words).groupBy("doc_id").agg(F.collect_list("found").alias("found"))
+    anchors = settle(shared_anchors(base, words).groupBy("doc_id").agg(F.collect_list("found").alias("found")), "anchors")
+    windows = later_windows(base.join(copies, "doc_id", "left_anti").join(anchors, "doc_id"), words).groupBy("doc_id").agg(F.collect_list("found").alias("found"))
     marks = windows.withColumn("whole", F.lit(False)).unionByName(copies.select("doc_id", F.lit(None).cast("array<binary>").alias("found"), F.lit(True).alias("whole")))
     marks = settle(marks, "windows").select(F.col("doc_id").alias("__doc"), F.col("found").alias("__found"), F.col("whole").alias("__whole"))
     joined = docs.join(marks, F.col("doc_id").cast("long") == F.col("__doc"), "left")
