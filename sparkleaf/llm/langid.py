@@ -47,8 +47,9 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     c[seps] = 32
     keep = np.ones(len(c), bool)
     keep[1:] = (c[1:] != 32) | (c[:-1] != 32)
+    starts = np.concatenate(([0], seps[:-1] + 1))[: len(texts)]
+    keep[starts] = c[starts] != 32  # no text opens with a blank
     keep[seps] = True
-    keep[np.minimum(seps[:-1] + 1, len(c) - 1)] &= c[np.minimum(seps[:-1] + 1, len(c) - 1)] != 32
     before = np.concatenate(([0], np.cumsum(keep)))
     c = c[keep]
     ends = before[seps + 1]  # each text runs to its separator, which counts as its last blank
