@@ -127,6 +127,36 @@ def bounds(sorted_values: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.flatnonzero(sorted_values[1:] != sorted_values[:-1]) + 1, [n])).astype(np.int64)
 
 
+FOR_DOCS = "part int, docs binary, counts binary, values binary"
+
+
+def for_docs(docs: np.ndarray, values: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Rows (part, docs, counts, values): the values of each document, a row for each part that documents are dealt to."""
+    order = np.lexsort((docs, mixed(docs.astype(U64)) % U64(parts)))
+    docs, values = docs[order], values[order]
+    cuts = bounds(docs)
+    ids = docs[cuts[:-1]]
+    part = (mixed(ids.astype(U64)) % U64(parts)).astype(np.int32)
+    at = bounds(part)
+    return pa.RecordBatch.from_arrays([pa.array(part[at[:-1]]), blob_column(ids, at), blob_column(np.diff(cuts), at), blob_column(values, cuts[at])], ["part", "docs", "counts", "values"])
+
+
+def by_document(rows: DataFrame, parts: int, dtype) -> DataFrame:
+    """(doc_id, found): one blob of all values for each document of rows from for_docs."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(unblob(b.column("docs"), np.int64), unblob(b.column("counts"), np.int64), unblob(b.column("values"), dtype)) for b in batches]
+        if not held:
+            return
+        docs, counts, values = (np.concatenate(x) for x in zip(*held, strict=True))
+        docs = np.repeat(docs, counts)
+        order = np.argsort(docs, kind="stable")
+        cuts = bounds(docs[order])
+        yield pa.RecordBatch.from_arrays([pa.array(docs[order][cuts[:-1]]), blob_column(values[order], cuts)], ["doc_id", "found"])
+
+    return rows.repartition(parts, "part").mapInArrow(join, "doc_id long, found binary")
+
+
 def tokenizer_file(name_or_path: str) -> str:
     """A path as it is; a bare name is looked up among the installed public tokenizer files of this worker."""
     if os.sep in name_or_path:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, as_bytes, blob_column, bounds, mixed, partitions, settle, sliced, unblob
+from .common import FOR_DOCS, U64, WordHashes, as_bytes, blob_column, bounds, by_document, for_docs, mixed, partitions, settle, sliced
 
 PERIOD, COVER = 7, (1, 2, 4)
 #: Entries that a task gathers before it deals them out, and documents that these may come from.
@@ -133,12 +133,6 @@ def _gathered(batches: Iterator[pa.RecordBatch], key_bytes: int, more_dtype) ->
     return np.concatenate(part), np.concatenate(keys), np.concatenate(docs), np.concatenate(more) if more else np.empty(0)
 
 
-def _for_docs(docs: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-    order = np.argsort(docs, kind="stable")
-    cuts = bounds(docs[order])
-    return pa.RecordBatch.from_arrays([pa.array(docs[order][cuts[:-1]]), blob_column(values[order], cuts)], ["doc_id", "found"])
-
-
 def shared_anchors(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, found): blobs of 64-bit (part, low 40 bits) keys of the anchors that other documents have too."""
     parts = partitions(docs.sparkSession)
@@ -165,9 +159,9 @@ def shared_anchors(docs: DataFrame, words: int) -> DataFrame:
         several = np.minimum.reduceat(docs, cuts[:-1]) != np.maximum.reduceat(docs, cuts[:-1])
         at = np.repeat(several, np.diff(cuts))
         if at.any():
-            yield _for_docs(docs[at], keys[at])
+            yield for_docs(docs[at], keys[at], parts)
 
-    return docs.mapInArrow(deal, _DEALT).repartition(parts, "part").mapInArrow(find, "doc_id long, found binary")
+    return by_document(docs.mapInArrow(deal, _DEALT).repartition(parts, "part").mapInArrow(find, FOR_DOCS), parts, U64)
 
 
 def later_windows(docs: DataFrame, words: int) -> DataFrame:
@@ -182,7 +176,7 @@ def later_windows(docs: DataFrame, words: int) -> DataFrame:
                 hashes = hashes_of(text.split())
                 at, keys = _anchors(hashes, words)
                 keys = (keys & _LOW) | (_part_of(keys, parts).astype(U64) << U64(40))
-                at = at[np.isin(keys, np.frombuffer(b"".join(found), U64))]
+                at = at[np.isin(keys, np.frombuffer(found, U64))]
                 near = np.zeros(len(hashes) + reach, bool)
                 for shift in range(reach):  # a window that starts up to 6 words before an anchor holds it
                     near[at[at >= shift] - shift] = True
@@ -209,9 +203,9 @@ def later_windows(docs: DataFrame, words: int) -> DataFrame:
         cuts = np.append(np.flatnonzero(new), len(keys))
         later = docs > np.repeat(np.minimum.reduceat(docs, cuts[:-1]), np.diff(cuts))
         if later.any():
-            yield _for_docs(docs[later], more["start"][later])
+            yield for_docs(docs[later], more["start"][later], parts)
 
-    return docs.mapInArrow(deal, _DEALT).repartition(parts, "part").mapInArrow(find, "doc_id long, found binary")
+    return by_document(docs.mapInArrow(deal, _DEALT).repartition(parts, "part").mapInArrow(find, FOR_DOCS), parts, "<u4")
 
 
 def dedup_substrings(docs: DataFrame, words: int = 13) -> DataFrame:
@@ -231,9 +225,9 @@ def dedup_substrings(docs: DataFrame, words: int = 13) -> DataFrame:
     digests = settle(base.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest")), "digests")
     first = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     copies = settle(digests.join(first, "digest").where(F.col("doc_id") > F.col("first")).select("doc_id").distinct(), "copies")
-    anchors = settle(shared_anchors(base, words).groupBy("doc_id").agg(F.collect_list("found").alias("found")), "anchors")
-    windows = later_windows(base.join(copies, "doc_id", "left_anti").join(anchors, "doc_id"), words).groupBy("doc_id").agg(F.collect_list("found").alias("found"))
-    marks = windows.withColumn("whole", F.lit(False)).unionByName(copies.select("doc_id", F.lit(None).cast("array<binary>").alias("found"), F.lit(True).alias("whole")))
+    anchors = settle(shared_anchors(base, words), "anchors")
+    windows = later_windows(base.join(copies, "doc_id", "left_anti").join(anchors, "doc_id"), words)
+    marks = windows.withColumn("whole", F.lit(False)).unionByName(copies.select("doc_id", F.lit(None).cast("binary").alias("found"), F.lit(True).alias("whole")))
     marks = settle(marks, "windows").select(F.col("doc_id").alias("__doc"), F.col("found").alias("__found"), F.col("whole").alias("__whole"))
     joined = docs.join(marks, F.col("doc_id").cast("long") == F.col("__doc"), "left")
     row = joined.select(F.struct(*[F.col(f"`{c}`") for c in kept if c != "text"]).alias("row"), F.col("text").cast("string").alias("text"), F.col("__found").alias("found"), F.coalesce("__whole", F.lit(False)).alias("whole"))
@@ -248,7 +242,7 @@ def dedup_substrings(docs: DataFrame, words: int = 13) -> DataFrame:
                 if whole and len(own) >= words:
                     own = []
                 elif found:
-                    starts = np.frombuffer(b"".join(found), "<u4").astype(np.int64)
+                    starts = np.frombuffer(found, "<u4").astype(np.int64)
                     steps = np.bincount(starts, minlength=len(own) + 1)[: len(own) + 1] - np.bincount(np.minimum(starts + words, len(own)), minlength=len(own) + 1)[: len(own) + 1]
                     own = [own[i] for i in np.flatnonzero(np.cumsum(steps)[:-1] == 0)]
                 n_removed.append(n_words[-1] - len(own))
