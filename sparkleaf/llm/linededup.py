@@ -12,11 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_SPACE, as_bytes, blob_column, bounds, partitions, sliced, unblob
+from .common import FOR_DOCS, U64, WORD_SPACE, as_bytes, blob_column, bounds, by_document, for_docs, partitions, sliced, unblob
 
 KEY = "S16"
 #: Runs of a level before they are compacted.
@@ -90,30 +91,30 @@ class LevelledRuns:
         return self._merged(runs) if runs else (np.empty(0, KEY), np.empty(0, np.int64))
 
 
-def _by_doc(keys: np.ndarray, docs: np.ndarray, parts: int) -> pa.RecordBatch:
-    """Rows (part, doc_id, keys): the lost keys of each document."""
-    order = np.argsort(docs, kind="stable")
-    keys, docs = keys[order], docs[order]
-    cuts = bounds(docs)
-    ids = docs[cuts[:-1]]
-    return pa.RecordBatch.from_arrays([pa.array((ids % parts).astype(np.int32)), pa.array(ids), blob_column(keys, cuts), pa.nulls(len(ids), pa.binary())], ["part", "doc_id", "keys", "docs"])
+_ROW = f"own boolean, {FOR_DOCS}"
+
+
+def _lost(keys: np.ndarray, docs: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Rows of lost (key, document) pairs, dealt by document."""
+    rows = for_docs(docs, keys, parts)
+    return pa.RecordBatch.from_arrays([pa.array(np.zeros(rows.num_rows, bool)), *rows.columns], ["own", *rows.schema.names])
 
 
 def lost_lines(docs: DataFrame, min_chars: int = 10, fanout: int = FANOUT) -> DataFrame:
-    """(doc_id long, keys array<binary>): blobs of the 16-byte keys that each document loses to a smaller doc_id."""
+    """(doc_id long, found binary): a blob of the 16-byte keys that each document loses to a smaller doc_id."""
     parts = partitions(docs.sparkSession)
-    schema = "part int, doc_id long, keys binary, docs binary"
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = LevelledRuns(fanout)
 
         def passed_on() -> pa.RecordBatch:
             keys, owners = runs.drain()
-            part = (np.frombuffer(keys.tobytes(), "<u8")[::2] % np.uint64(parts)).astype(np.int32)
+            part = (np.frombuffer(keys.tobytes(), "<u8")[::2] % U64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             keys, owners, part = keys[order], owners[order], part[order]
             cuts = bounds(part)
-            return pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]]), pa.nulls(len(cuts) - 1, pa.int64()), blob_column(keys, cuts), blob_column(owners, cuts)], ["part", "doc_id", "keys", "docs"])
+            n = len(cuts) - 1
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(n, bool)), pa.array(part[cuts[:-1]]), blob_column(owners, cuts), pa.nulls(n, pa.binary()), blob_column(keys, cuts)], ["own", "part", "docs", "counts", "values"])
 
         for batch in sliced(batches, "text"):
             keys: list[bytes] = []
@@ -124,7 +125,7 @@ def lost_lines(docs: DataFrame, min_chars: int = 10, fanout: int = FANOUT) -> Da
                 holder += [doc] * len(found)
             lost = runs.add(np.array(keys, KEY), np.array(holder, np.int64))
             if len(lost[0]):
-                yield _by_doc(*lost, parts)
+                yield _lost(*lost, parts)
             if len(runs) > TASK_LINES:
                 yield passed_on()
         if len(runs):
@@ -133,18 +134,18 @@ def lost_lines(docs: DataFrame, min_chars: int = 10, fanout: int = FANOUT) -> Da
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = LevelledRuns(fanout)
         for batch in batches:
-            known = batch.filter(batch.column("doc_id").is_valid())
+            known = batch.filter(pc.invert(batch.column("own")))
             if known.num_rows:
                 yield known
-            rest = batch.filter(batch.column("doc_id").is_null())
+            rest = batch.filter(batch.column("own"))
             if rest.num_rows:
-                lost = runs.add(unblob(rest.column("keys"), KEY), unblob(rest.column("docs"), np.int64))
+                lost = runs.add(unblob(rest.column("values"), KEY), unblob(rest.column("docs"), np.int64))
                 if len(lost[0]):
-                    yield _by_doc(*lost, parts)
+                    yield _lost(*lost, parts)
 
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    lost = rows.mapInArrow(local, schema).repartition(parts, "part").mapInArrow(merged, schema)
-    return lost.groupBy("doc_id").agg(F.collect_list("keys").alias("keys"))
+    lost = rows.mapInArrow(local, _ROW).repartition(parts, "part").mapInArrow(merged, _ROW)
+    return by_document(lost.drop("own"), parts, KEY)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10, fanout: int = FANOUT) -> DataFrame:
@@ -158,7 +159,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, fanout: int = FANOUT) -> D
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     docs = docs.select(*[F.col(f"`{c}`") for c in kept])
-    lost = lost_lines(docs, min_chars, fanout).select(F.col("doc_id").alias("__doc"), F.col("keys").alias("__keys"))
+    lost = lost_lines(docs, min_chars, fanout).select(F.col("doc_id").alias("__doc"), F.col("found").alias("__keys"))
     joined = docs.join(lost, F.col("doc_id").cast("long") == F.col("__doc"), "left")
     row = joined.select(F.struct(*[F.col(f"`{c}`") for c in kept if c != "text"]).alias("row"), F.col("text").cast("string").alias("text"), F.col("__keys").alias("keys"))
     schema = f"row {row.schema['row'].dataType.simpleString()}, text string, n_lines long, n_dropped long"
@@ -170,7 +171,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, fanout: int = FANOUT) -> D
             n_lines = [(t or b"").count(b"\n") + 1 for t in raw]
             dropped = [0] * len(raw)
             for i in np.flatnonzero(np.asarray(blobs.is_valid())):
-                blob = b"".join(blobs[int(i)].as_py())
+                blob = blobs[int(i)].as_py()
                 keys = {blob[j : j + 16] for j in range(0, len(blob), 16)}
                 lines = (raw[i] or b"").split(b"\n")
                 stay = [x for x in lines if len(x) < min_chars or key_of(x, min_chars) not in keys]
