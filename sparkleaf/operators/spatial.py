@@ -170,3 +170,59 @@ def columns_of(lines: DataFrame) -> DataFrame:
     widths = marked.groupBy(*PAGE, "__g").agg((F.max("box.x1") - F.min("box.x0")).alias("w"))
     out = widths.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n"), F.max("w").alias("wide"), F.min("w").alias("slim"))
     return out.select(*PAGE, F.when((F.col("n") == 2) & (F.col("slim") >= 0.5 * F.col("wide")), 2).otherwise(1).alias("n_columns"))
+
+
+def styled_spans(spans: DataFrame, shapes: DataFrame) -> DataFrame:
+    """(doc_id, page, line_no, span_no, part, style, text): spans cut where a text-style shape begins or ends.
+
+    spans: (doc_id, page, line_no, span_no, chars array<struct<c, box>>); shapes: (doc_id, page, ordinal, box). A character belongs to
+    a shape that covers half of its width and meets its height. Low shapes (less than half as high as the character) strike
+    if they cross its middle half and underline below it; higher ones highlight. The first shape by ordinal decides.
+    """
+    keys = [*PAGE, "line_no", "span_no"]
+    chars = spans.select(*keys, F.posexplode("chars").alias("pos", "ch")).select(*keys, "pos", F.col("ch.c").alias("c"), F.col("ch.box").alias("box"))
+    zones = shapes.select(*PAGE, F.col("ordinal").alias("__o"), F.col("box").alias("__z"))
+    wide = F.least("box.x1", "__z.x1") - F.greatest("box.x0", "__z.x0") >= 0.5 * (F.col("box.x1") - F.col("box.x0"))
+    high = (F.least("box.y1", "__z.y1") >= F.greatest("box.y0", "__z.y0")) & (F.col("box.x1") > F.col("box.x0"))
+    height = F.col("box.y1") - F.col("box.y0")
+    below = (F.col("__z.y0") + F.col("__z.y1")) / 2 - F.col("box.y0")
+    style = F.when(F.col("__z.y1") - F.col("__z.y0") >= 0.5 * height, "highlight").when(below > 0.75 * height, "underline").when(below >= 0.25 * height, "strike")
+    hit = chars.join(zones, PAGE).where(wide & high).groupBy(*keys, "pos").agg(F.min_by(style, "__o").alias("style"))
+    rows = chars.join(hit, [*keys, "pos"], "left")
+    w = Window.partitionBy(*keys).orderBy("pos")
+    new = F.when(F.lag("pos").over(w).isNull() | ~F.col("style").eqNullSafe(F.lag("style").over(w)), 1).otherwise(0)
+    rows = rows.withColumn("__new", new).withColumn("part", F.sum("__new").over(w))
+    parts = rows.groupBy(*keys, "part").agg(F.first("style").alias("style"), F.array_sort(F.collect_list(F.struct("pos", "c"))).alias("p"))
+    return parts.select(*keys, "part", "style", F.array_join(F.transform("p", lambda x: x["c"]), "").alias("text"))
+
+
+def sections(lines: DataFrame, gap: float = 1.0, least_height: float = 20.0) -> DataFrame:
+    """All columns, section from 1 and column 1 or 2: bands of a page's rows that stand in the same number of columns.
+
+    A row stands in two columns if it has a free gap whose two sides are alike in width (between half and double) and fill a
+    third of the row each. A two-column band lower than 20 points is taken as one column. Rows of one kind that follow
+    each other are a section.
+    """
+    rows = rows_of(lines)
+    row = Window.partitionBy(*PAGE, "row_no")
+    order = row.orderBy("box.x0", "ordinal")
+    split = F.when(F.col("box.x0") - F.lag("box.x1").over(order) >= gap, F.col("box.x0"))
+    rows = rows.withColumn("__left", F.min("box.x0").over(row)).withColumn("__right", F.max("box.x1").over(row)).withColumn("__cut", split)
+    rows = rows.withColumn("__at", F.max("__cut").over(row)).withColumn("__n", F.count("__cut").over(row))
+    end = F.max(F.when(F.col("box.x0") < F.col("__at"), F.col("box.x1"))).over(row)
+    rows = rows.withColumn("__end", end)
+    a, b, whole = F.col("__end") - F.col("__left"), F.col("__right") - F.col("__at"), F.col("__right") - F.col("__left")
+    two = F.coalesce((F.col("__n") == 1) & (a / b).between(0.5, 2.0) & (a >= whole / 3) & (b >= whole / 3), F.lit(False))
+    rows = rows.withColumn("__two", two)
+    per_row = rows.groupBy(*PAGE, "row_no").agg(F.bool_or("__two").alias("two"), F.min("box.y0").alias("top"), F.max("box.y1").alias("low"))
+    w = Window.partitionBy(*PAGE).orderBy("row_no")
+
+    def bands(df: DataFrame, out: str) -> DataFrame:
+        change = F.when(F.lag("two").over(w).isNull() | (F.col("two") != F.lag("two").over(w)), 1).otherwise(0)
+        return df.withColumn("__c", change).withColumn(out, F.sum("__c").over(w).cast("int")).drop("__c")
+
+    g = Window.partitionBy(*PAGE, "__band")
+    per_row = bands(per_row, "__band").withColumn("two", F.col("two") & (F.max("low").over(g) - F.min("top").over(g) >= least_height))
+    per_row = bands(per_row, "section").select(*PAGE, "row_no", "two", "section")
+    out = rows.join(per_row, [*PAGE, "row_no"])
+    return out.select(*lines.columns, "section", F.when(F.col("two") & (F.col("box.x0") >= F.col("__at")), 2).otherwise(1).alias("column"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry
+
 SHEET = ["doc_id", "sheet_no"]
 
 
@@ -108,3 +111,51 @@ def lattice_spans(cells: DataFrame) -> DataFrame:
     good = heads.join(valid.where("ok"), ["table_id", "r", "c"])
     covered = both.join(good, "table_id").where(inside).select("table_id", "row", "col", F.when((F.col("row") == F.col("r")) & (F.col("col") == F.col("c")), F.struct("h", "w")).otherwise(F.struct(F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("w"))).alias("__s"))
     return both.select("table_id", "row", "col").join(covered, ["table_id", "row", "col"], "left").select("table_id", "row", "col", F.coalesce("__s.h", F.lit(1)).alias("row_span"), F.coalesce("__s.w", F.lit(1)).alias("col_span"))
+
+
+def clustered_strokes(strokes: DataFrame, gap: float = 2.0) -> DataFrame:
+    """(table_id, horizontal, at, low, high): strokes of one direction within `gap` of the running average position, as one.
+
+    strokes: (table_id, horizontal, at, low, high), taken in order of position; each decision moves the average that the next
+    one is held against, so a table's direction is one group.
+    """
+
+    def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out: list[list] = []
+        for r in rows.sort_values(["at", "low", "high"]).itertuples(index=False):
+            if out and abs(r.at - out[-1][0]) <= gap:
+                last = out[-1]
+                last[0] = (last[0] * last[3] + r.at) / (last[3] + 1)
+                last[1], last[2], last[3] = min(last[1], r.low), max(last[2], r.high), last[3] + 1
+            else:
+                out.append([r.at, r.low, r.high, 1])
+        return pd.DataFrame([(key[0], bool(key[1]), *o[:3]) for o in out], columns=["table_id", "horizontal", "at", "low", "high"])
+
+    return strokes.groupBy("table_id", "horizontal").applyInPandas(merge, "table_id long, horizontal boolean, at double, low double, high double")
+
+
+def outer_strokes(strokes: DataFrame, boxes: DataFrame, far: float = 6.0) -> DataFrame:
+    """strokes with a stroke for each side of a table's box (table_id, x0, y0, x1, y1) that none lies near."""
+    sides = boxes.select("table_id", F.explode(F.array(*[F.struct(F.lit(h).alias("horizontal"), F.col(at).cast("double").alias("at"), F.col(low).cast("double").alias("low"), F.col(high).cast("double").alias("high")) for h, at, low, high in ((True, "y0", "x0", "x1"), (True, "y1", "x0", "x1"), (False, "x0", "y0", "y1"), (False, "x1", "y0", "y1"))])).alias("s")).select("table_id", "s.*")
+    near = strokes.select("table_id", "horizontal", F.col("at").alias("__at"))
+    have = sides.join(near, ["table_id", "horizontal"]).where(F.abs(F.col("at") - F.col("__at")) <= far).select("table_id", "horizontal", "at").distinct()
+    return strokes.select("table_id", "horizontal", "at", "low", "high").unionByName(sides.join(have, ["table_id", "horizontal", "at"], "left_anti"))
+
+
+def cell_texts(cells: DataFrame, lines: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """(table_id, row, col, text): the lines (table_id, ordinal, text, box) that a lattice cell covers, in order, by newlines."""
+    zones = cells.select("table_id", "row", "col", geometry.box("x0", "y0", "x1", "y1").alias("__z"))
+    hit = lines.join(zones, "table_id").where(geometry.covers("__z", "box", threshold))
+    parts = F.array_sort(F.collect_list(F.struct("ordinal", "text")))
+    return hit.groupBy("table_id", "row", "col").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("text"))
+
+
+def text_grid(cells: DataFrame, spans: DataFrame) -> DataFrame:
+    """(table_id, grid): rows of texts, null for swallowed cells; a cell with a nested table reads `<NEST TABLE>`.
+
+    cells: (table_id, row, col, text, nested); spans as from lattice_spans.
+    """
+    rows = spans.join(cells, ["table_id", "row", "col"], "left")
+    value = F.when(F.col("row_span") == 0, F.lit(None)).when(F.coalesce("nested", F.lit(False)), F.lit("<NEST TABLE>")).otherwise(F.coalesce("text", F.lit("")))
+    line = rows.groupBy("table_id", "row").agg(F.array_sort(F.collect_list(F.struct("col", value.alias("v")))).alias("c"))
+    return line.groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("row", "c"))).alias("r")).select("table_id", F.transform("r", lambda x: F.transform(x["c"], lambda y: y["v"])).alias("grid"))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from sparkleaf.operators import evaluate, relations, spatial, tables, tree, votes
-from sparkleaf.sources import files, sinks
+from sparkleaf.sources import adapters, files, sinks
 from sparkleaf.streaming import events
 
 BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
@@ -202,3 +202,44 @@ def test_retries_status_progress(spark):
 def test_place_is_plain_python():
     page = pd.DataFrame([{"ordinal": 0, "type": "table", "text": "", "list_type": None, "size": None, "bold": None, "is_title": None, "in_catalog": None, "has_link": None, "caption_ordinal": None, "ref_ordinal": None}])
     assert tree.place(page)["parent"].isna().all()
+
+
+def test_strokes_and_cells(spark):
+    rows = [(1, True, 0.0, 0.0, 30.0), (1, True, 1.5, 0.0, 10.0), (1, True, 10.0, 0.0, 30.0), (1, False, 0.0, 0.0, 10.0), (1, False, 30.0, 0.0, 10.0)]
+    strokes = spark.createDataFrame(rows, "table_id long, horizontal boolean, at double, low double, high double")
+    got = sorted(tuple(r)[1:3] for r in tables.clustered_strokes(strokes).collect())
+    assert got == [(False, 0.0), (False, 30.0), (True, 0.75), (True, 10.0)]
+    boxes = spark.createDataFrame([(1, 0.0, 0.0, 60.0, 10.0)], "table_id long, x0 double, y0 double, x1 double, y1 double")
+    assert tables.outer_strokes(strokes, boxes).where("NOT horizontal").count() == 3
+    cells = tables.lattice_cells(tables.clustered_strokes(strokes))
+    lines = spark.createDataFrame([(1, 1, "b", (1.0, 2.0, 9.0, 5.0)), (1, 0, "a", (1.0, 1.0, 9.0, 2.0)), (1, 2, "out", (50.0, 1.0, 59.0, 2.0))], f"table_id long, ordinal int, text string, box {BOX}")
+    texts = tables.cell_texts(cells, lines)
+    assert [tuple(r) for r in texts.collect()] == [(1, 1, 1, "a\nb")]
+    grid = tables.text_grid(texts.withColumn("nested", F.lit(False)), tables.lattice_spans(cells))
+    assert grid.first()["grid"] == [["a\nb"]]
+
+
+def test_adapters(spark):
+    items = spark.createDataFrame([(1, 5, "Header", "A", 1, "p1", None), (1, 2, "NarrativeText", None, 1, "p0", "gone")], "doc_id long, ordinal int, kind string, text string, page int, id string, up string")
+    got = adapters.flat_list(items, "text", "kind", "page", {"Header": "Title"}, page_base=1).orderBy("ordinal").collect()
+    assert [(r["order_num"], r["page_num"], r["layout_type"], r["text"]) for r in got] == [("1", 0, "Text", ""), ("2", 0, "Title", "A")]
+    assert {(r["child"], r["parent"]) for r in adapters.parent_edges(items, "id", "up").collect()} == {("p0", None), ("p1", None)}
+    assert tuple(spark.range(1).select(adapters.corner_box(F.array(F.array(F.lit(1.0), F.lit(9.0)), F.array(F.lit(4.0), F.lit(2.0)))).alias("b")).first()["b"]) == (1.0, 2.0, 4.0, 9.0)
+    assert adapters.from_markdown(spark.createDataFrame([(1, 0, "Odd", "x")], "doc_id long, ordinal int, layout_type string, text string")).first()["layout_type"] == "Text"
+
+
+def test_styled_spans(spark):
+    char = lambda i, c: (c, (10.0 * i, 0.0, 10.0 * i + 10, 12.0))
+    spans = spark.createDataFrame([(1, 0, 0, 0, [char(i, c) for i, c in enumerate("abcdef")])], f"doc_id long, page int, line_no int, span_no int, chars array<struct<c:string,box:{BOX}>>")
+    shapes = spark.createDataFrame([(1, 0, 0, (20.0, 11.0, 40.0, 12.0)), (1, 0, 1, (50.0, 0.0, 60.0, 12.0))], f"doc_id long, page int, ordinal int, box {BOX}")
+    got = [(r["text"], r["style"]) for r in spatial.styled_spans(spans, shapes).orderBy("part").collect()]
+    assert got == [("ab", None), ("cd", "underline"), ("e", None), ("f", "highlight")]
+
+
+def test_sections(spark):
+    rows = [(1, 0, 0, (0.0, 0.0, 100.0, 10.0))]
+    for i in range(3):
+        rows += [(1, 0, 1 + 2 * i, (0.0, 12.0 * i + 12, 48.0, 12.0 * i + 22)), (1, 0, 2 + 2 * i, (52.0, 12.0 * i + 12, 100.0, 12.0 * i + 22))]
+    rows += [(1, 0, 9, (0.0, 60.0, 90.0, 70.0)), (2, 0, 0, (0.0, 0.0, 45.0, 10.0)), (2, 0, 1, (50.0, 0.0, 100.0, 10.0))]
+    got = {(r["doc_id"], r["ordinal"]): (r["section"], r["column"]) for r in spatial.sections(spark.createDataFrame(rows, f"doc_id long, page int, ordinal int, box {BOX}")).collect()}
+    assert got == {(1, 0): (1, 1), **{(1, i): (2, 2 - i % 2) for i in range(1, 7)}, (1, 9): (3, 1), (2, 0): (1, 1), (2, 1): (1, 1)}
