@@ -5,7 +5,8 @@ and coordinate k is the least value that the second, shifted circularly by k, gi
 coordinates become bucket keys. Texts with the same shingle set are one class from the start; each bucket then links
 its classes to its least one (tasks do so with their own members first, so a bucket leaves a task as one entry), the
 pairs are confirmed on full sets, and components are formed. Buckets that still hold several components go through a second
-pass that compares the signatures of their members in tiles of bounded size, so that no link is left out.
+pass that compares long one-bit sketches of their members in tiles of bounded size, and confirms in the tile what they leave, so
+that no link is left out and no pair that isn't a link leaves a task.
 """
 
 from __future__ import annotations
@@ -26,10 +27,12 @@ SLOTS, SEED = 1 << 20, 20
 ROWS, BANDS = 5, 40
 #: Entries that a task gathers before it passes them on; members of a tile's side.
 TASK_ENTRIES, TILE_ROWS = 4_000_000, 256
+#: One-bit coordinates of a sketch, and how far below the threshold its estimate may lie (above five deviations at 0.8).
+SKETCH, SLACK = 4096, 0.05
 _BASE = 0x9FB21C651E98DF25
 
 
-@lru_cache(1)
+@lru_cache(2)
 def _permutations(coordinates: int) -> tuple[np.ndarray, np.ndarray]:
     """The first permutation, and the second as windows of `coordinates` neighbouring values, wrapped round."""
     rng = np.random.Generator(np.random.PCG64(SEED))
@@ -53,9 +56,10 @@ def signature(found: np.ndarray, coordinates: int) -> np.ndarray:
     """The coordinates of a non-empty shingle set."""
     sigma, windows = _permutations(coordinates)
     slots = sigma[(found & U64(SLOTS - 1)).astype(np.int64)]
-    out = windows[slots[:4096]].min(axis=0)
-    for i in range(4096, len(slots), 4096):
-        np.minimum(out, windows[slots[i : i + 4096]].min(axis=0), out=out)
+    step = max(1, (1 << 20) // coordinates)
+    out = windows[slots[:step]].min(axis=0)
+    for i in range(step, len(slots), step):
+        np.minimum(out, windows[slots[i : i + step]].min(axis=0), out=out)
     return out
 
 
@@ -70,8 +74,8 @@ def band_keys(signatures: np.ndarray, rows: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, shingle_words: int, rows: int, bands: int) -> DataFrame:
-    """(doc_id, n_shingles, digest, keys, marks): set size, 128-bit digest of the set, bucket keys, low signature bytes."""
-    schema = "doc_id long, n_shingles long, digest binary, keys binary, marks binary"
+    """(doc_id, n_shingles, digest, keys): set size, 128-bit digest of the set, bucket keys."""
+    schema = "doc_id long, n_shingles long, digest binary, keys binary"
     k = rows * bands
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,10 +85,10 @@ def signed(docs: DataFrame, shingle_words: int, rows: int, bands: int) -> DataFr
             full = [i for i, s in enumerate(sets) if len(s)]
             signatures = np.array([signature(sets[i], k) for i in full], np.uint32).reshape(len(full), k)
             keys = [None] * len(sets)
-            marks, digests = list(keys), list(keys)
-            for i, key, mark in zip(full, band_keys(signatures, rows), signatures.astype(np.uint8), strict=True):
-                keys[i], marks[i], digests[i] = key.tobytes(), mark.tobytes(), xxhash.xxh3_128_digest(sets[i].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, sets), pa.int64()), *(pa.array(x, pa.binary()) for x in (digests, keys, marks))], ["doc_id", "n_shingles", "digest", "keys", "marks"])
+            digests = list(keys)
+            for i, key in zip(full, band_keys(signatures, rows), strict=True):
+                keys[i], digests[i] = key.tobytes(), xxhash.xxh3_128_digest(sets[i].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, sets), pa.int64()), *(pa.array(x, pa.binary()) for x in (digests, keys))], ["doc_id", "n_shingles", "digest", "keys"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sign, schema)
 
@@ -203,8 +207,26 @@ def open_buckets(members: DataFrame) -> DataFrame:
     return members.select("component", "keys").mapInArrow(local, _ENTRY).repartition(parts, "part").mapInArrow(merged, "key long")
 
 
-def tile_pairs(reps: DataFrame, components_of: DataFrame, open_keys: DataFrame, least: float) -> DataFrame:
-    """Distinct (a, b) in open buckets, of different components, whose signatures agree in a share of `least` at least."""
+def sketched(texts: DataFrame, shingle_words: int) -> DataFrame:
+    """(id, sketch): the lowest bits of SKETCH signature coordinates of each text."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes_of = WordHashes()
+        for batch in sliced(batches, "text"):
+            sets = [shingles(t or b"", shingle_words, hashes_of) for t in as_bytes(batch.column("text"))]
+            bits = [np.packbits((signature(s, SKETCH) & np.uint32(1)).astype(np.uint8)).tobytes() if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bits, pa.binary())], ["id", "sketch"])
+
+    return texts.select("doc_id", "text").mapInArrow(sketch, "id long, sketch binary")
+
+
+def tile_links(reps: DataFrame, components_of: DataFrame, open_keys: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """(a, b): confirmed links between members of open buckets that are in different components.
+
+    A tile links as few pairs as join its documents: at most one row fewer than it has documents.
+    """
+    most = int((1 - (percent / 100 - SLACK)) / 2 * SKETCH)
+    tile = ["key", "low", "high"]
 
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,27 +234,56 @@ def tile_pairs(reps: DataFrame, components_of: DataFrame, open_keys: DataFrame,
             if len(keys):
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(np.asarray(batch.column("doc_id")), len(keys) // batch.num_rows))], ["key", "id"])
 
-    def compare(tile: pa.Table) -> pa.Table:
-        ids, comps, n, block = (np.asarray(tile[c]).astype(np.int64) for c in ("id", "component", "n_shingles", "block"))
-        marks = np.frombuffer(b"".join(tile["marks"].to_pylist()), np.uint8).reshape(len(ids), -1)
-        first, second = block == block.min(), block == block.max()
-        right = np.flatnonzero(second)
+    def compare(key: tuple, rows: pa.Table) -> pa.Table:
+        ids, comps, n, block = (np.asarray(rows[c]).astype(np.int64) for c in ("id", "component", "n_shingles", "block"))
+        bits = np.frombuffer(b"".join(rows["sketch"].to_pylist()), U64).reshape(len(ids), -1)
+        right = np.flatnonzero(block == block.max())
+        partners: dict[int, list[int]] = {}
+        for i in np.flatnonzero(block == block.min()):
+            at = right[(comps[right] != comps[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
+            if len(at):
+                at = at[np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1) <= most]
+            for j in at:
+                partners.setdefault(int(ids[i]), []).append(int(ids[j]))
+                partners.setdefault(int(ids[j]), [])
+        low, high = key[1].as_py(), key[2].as_py()
+        m = len(partners)
+        return pa.table({"key": pa.array([key[0].as_py()] * m, pa.int64()), "low": pa.array([low] * m, pa.int32()), "high": pa.array([high] * m, pa.int32()), "doc_id": pa.array(list(partners), pa.int64()), "partners": pa.array([np.unique(np.array(v, np.int64)).tobytes() for v in partners.values()], pa.binary())})
+
+    def confirm(rows: pa.Table) -> pa.Table:
+        hashes_of, sets = WordHashes(), {}
+        ids, words = rows["doc_id"].to_pylist(), rows["text"].cast(pa.binary()).to_pylist()
+        for i, t in zip(ids, words, strict=True):
+            sets[i] = shingles(t or b"", shingle_words, hashes_of)
+        root = {i: i for i in sets}
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
         out = []
-        for i in np.flatnonzero(first):
-            at = right[(comps[right] != comps[i]) & (np.minimum(n[right], n[i]) >= 0.8 * np.maximum(n[right], n[i]))]
-            alike = at[(marks[at] == marks[i]).mean(axis=1) >= least] if len(at) else at
-            out += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in alike]
-        a, b = zip(*set(out), strict=True) if out else ((), ())
+        for i, blob in zip(ids, rows["partners"].to_pylist(), strict=True):
+            for j in np.frombuffer(blob, np.int64).tolist():
+                if i != j and (x := find(i)) != (y := find(j)):
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                        root[max(x, y)] = min(x, y)
+                        out.append((i, j))
+        a, b = zip(*out, strict=True) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    members = reps.select("doc_id", "keys").mapInArrow(exploded, "key long, id long").join(open_keys, "key", "left_semi")
-    members = settle(members, "members")
+    members = settle(reps.select("doc_id", "keys").mapInArrow(exploded, "key long, id long").join(open_keys, "key", "left_semi"), "members")
+    ids = members.select(F.col("id").alias("doc_id")).distinct()
+    sketches = settle(sketched(texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), shingle_words), "sketches")
     sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).cast("int").alias("blocks"))
     members = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    about = reps.select(F.col("doc_id").alias("id"), "n_shingles", "marks").join(components_of, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    about = reps.select(F.col("doc_id").alias("id"), "n_shingles").dropDuplicates(["id"]).join(sketches, "id").join(components_of, "id", "left").withColumn("component", F.coalesce("component", "id"))
     rows = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", "id", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).join(about, "id")
-    return rows.groupBy("key", "low", "high").applyInArrow(compare, "a long, b long").distinct()
+    found = rows.groupBy(*tile).applyInArrow(compare, "key long, low int, high int, doc_id long, partners binary")
+    return found.join(texts, "doc_id").groupBy(*tile).applyInArrow(confirm, "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
@@ -285,8 +336,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     with_component = reps.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     keys = settle(open_buckets(with_component), "open")
     if not keys.isEmpty():
-        more = tile_pairs(reps, found, keys, percent / 100 - 0.2)
-        more = settle(confirmed(more, texts, shingle_words, percent), "more")
+        more = settle(tile_links(reps, found, keys, texts, shingle_words, percent), "more")
         if not more.isEmpty():
             found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
     found = found.select(F.col("id").alias("rep"), "component")
