@@ -380,6 +380,32 @@ def added_spans(m: Tagger, texts: list[str], base: list[list[list[tuple[int, int
     return out
 
 
+def spans_of(model: Tagger, texts: list[str | None]) -> list[list[tuple[int, int, int, bool]]]:
+    """(kind number, start, end, base) of each text, by kind, then start."""
+    out: list[list[tuple[int, int, int, bool]]] = [[] for _ in texts]
+    live = [i for i, t in enumerate(texts) if t and _TRIGGER.search(t)]
+    base = [base_spans(texts[i]) for i in live]
+    for i, b, a in zip(live, base, added_spans(model, [texts[i] for i in live], base), strict=True):
+        for k in range(len(KINDS)):
+            out[i] += sorted([(k, s, e, True) for s, e in b[k]] + [(k, s, e, False) for s, e in a[k]])
+    return out
+
+
+def masked_text(text: str, spans: list[tuple[int, int, int, bool]]) -> str:
+    """The text with its spans replaced by their kinds; overlapping ones go as one, under the kind that starts first."""
+    merged: list[list[int]] = []
+    for kind, start, end, _ in sorted(spans, key=lambda s: (s[1], -s[2], s[0])):
+        if merged and start < merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], end)
+        else:
+            merged.append([start, end, kind])
+    parts, done = [], 0
+    for start, end, kind in merged:
+        parts += [text[done:start], f"<{KINDS[kind]}>"]
+        done = end
+    return "".join([*parts, text[done:]])
+
+
 def find(df: DataFrame, text_col: str = "text", out_col: str = "pii", tagger: Tagger | None = None) -> DataFrame:
     """All columns of df, and pii array<struct<kind string, start int, end int, base boolean>> of the whole text.
 
@@ -395,44 +421,24 @@ def find(df: DataFrame, text_col: str = "text", out_col: str = "pii", tagger: Ta
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
-            texts = batch.column("text").to_pylist()
-            out: list[list] = [[] for _ in texts]
-            live = [i for i, t in enumerate(texts) if t and _TRIGGER.search(t)]
-            base = [base_spans(texts[i]) for i in live]
-            for i, b, a in zip(live, base, added_spans(model, [texts[i] for i in live], base), strict=True):
-                for k, kind in enumerate(KINDS):
-                    both = [(s, e, True) for s, e in b[k]] + [(s, e, False) for s, e in a[k]]
-                    out[i] += [{"kind": kind, "start": s, "end": e, "base": f} for s, e, f in sorted(both)]
+            out = [[{"kind": KINDS[k], "start": s, "end": e, "base": f} for k, s, e, f in spans] for spans in spans_of(model, batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, arrow_type)], ["row", "pii"])
 
     return row.mapInArrow(tag, f"row {row.schema['row'].dataType.simpleString()}, pii {kind_type}").select(*[F.col(f"row.`{c}`") for c in kept], F.col("pii").alias(out_col))
 
 
 def mask(df: DataFrame, text_col: str = "text", tagger: Tagger | None = None) -> DataFrame:
-    """df with every span of `find` in its text replaced by the kind in angle brackets; null texts stay null.
+    """df with every span that `find` gives for its text replaced by the kind in angle brackets; null texts stay null.
 
     Overlapping spans are masked as one, under the kind that starts first (longest, then by kind).
     """
-    found = find(df, text_col, "__pii", tagger)
-    row = found.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text_col]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col("__pii").alias("pii"))
+    model = tagger or train()
+    row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text_col]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             texts = batch.column("text").to_pylist()
-            for i, spans in enumerate(batch.column("pii").to_pylist()):
-                if not spans:
-                    continue
-                merged: list[list] = []
-                for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
-                    if merged and s["start"] < merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], s["end"])
-                    else:
-                        merged.append([s["start"], s["end"], s["kind"]])
-                parts, done = [], 0
-                for a, b, kind in merged:
-                    parts += [texts[i][done:a], f"<{kind}>"]
-                    done = b
-                texts[i] = "".join([*parts, texts[i][done:]])
+            texts = [masked_text(t, spans) if spans else t for t, spans in zip(texts, spans_of(model, texts), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
 
     out = row.mapInArrow(masked, f"row {row.schema['row'].dataType.simpleString()}, text string")

@@ -17,7 +17,7 @@ from .chunks import ChunkTable, unsafe
 from .common import sliced, tokenizer_file
 
 #: Bytes of texts that are encoded at once.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 #: Chunks that are encoded as lines of one string.
 LINES = 128
 #: White space inside a chunk or at its end.
