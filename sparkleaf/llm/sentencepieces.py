@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ChunkTable
+from .chunks import TABLE_CHUNKS, ChunkTable
 from .common import SLICE_BYTES, sliced, tokenizer_file
 
 MARK = "▁"
@@ -80,7 +80,7 @@ def encode(df: DataFrame, text_col: str = "text", model: str = "piece_bpe_32k.mo
     return _mapped(df, text_col, "string", out_col, "array<int>", made)
 
 
-def decode(df: DataFrame, ids_col: str = "ids", model: str = "piece_bpe_32k.model", out_col: str = "decoded", slice_ids: int = 1 << 19) -> DataFrame:
+def decode(df: DataFrame, ids_col: str = "ids", model: str = "piece_bpe_32k.model", out_col: str = "decoded", slice_ids: int = 1 << 21) -> DataFrame:
     """All columns of df, and the string that the library decodes from the ids.
 
     Ids are cut before each marked word, distinct id chunks are decoded once and their texts are joined by position. Null
@@ -96,39 +96,47 @@ def decode(df: DataFrame, ids_col: str = "ids", model: str = "piece_bpe_32k.mode
         opens = np.array([p.startswith(MARK) for p in pieces])
         nl = sp.encode("\n")[-1]
         table: dict[bytes, str] = {}
+
+        def texts_of(column: pa.Array) -> pa.Array:
+            lens = np.where(np.asarray(column.is_valid()), np.diff(np.asarray(column.offsets)), 0)
+            values = column.flatten()
+            doc = np.repeat(np.arange(len(lens)), lens)
+            if values.null_count:
+                doc = doc[np.asarray(values.is_valid())]
+                values = values.drop_null()
+            ids = np.ascontiguousarray(np.asarray(values), "<i4")
+            if not len(ids):
+                return pa.array([""] * len(lens), pa.string())
+            if ids.min() < 0 or ids.max() >= len(pieces):
+                raise ValueError("an id is outside of the vocabulary")
+            first = np.ones(len(ids), bool)
+            first[1:] = doc[1:] != doc[:-1]
+            cut = opens[ids]
+            cut[1:] &= ~blank[ids[:-1]]
+            starts = np.flatnonzero(cut | first)
+            offsets = np.append(starts, len(ids)).astype(np.int32) * 4
+            coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(ids)]).dictionary_encode()
+            keys = coded.dictionary.to_pylist()
+            new = [x for x in keys if x not in table]
+            made = {x: t[1:] for x, t in zip(new, sp.decode([[nl, *np.frombuffer(x, "<i4").tolist()] for x in new]), strict=True)} if new else {}
+            distinct = [made[x] if x in made else table[x] for x in keys]
+            if len(table) < TABLE_CHUNKS:
+                table.update(made)
+            index = np.asarray(coded.indices).astype(np.int64)
+            index[first[starts] & opens[ids[starts]]] += len(distinct)  # a text's first mark isn't part of it
+            chunks = pa.array([*distinct, *(t[1:] for t in distinct)], pa.string()).take(pa.array(index))
+            ends = np.searchsorted(doc[starts], np.arange(len(lens) + 1))
+            whole = np.asarray(np.frombuffer(chunks.buffers()[1], np.int32)[: len(chunks) + 1])
+            return pa.Array.from_buffers(pa.string(), len(lens), [None, pa.py_buffer(np.ascontiguousarray(whole[ends])), chunks.buffers()[2]])
+
         for batch in batches:
             column = batch.column("value")
+            sizes = np.cumsum(np.diff(np.asarray(column.offsets)))
             start = 0
-            while start < batch.num_rows:
-                size, stop = 0, start
-                while stop < batch.num_rows and (stop == start or size < slice_ids):
-                    size += len(column[stop]) if column[stop].is_valid else 0
-                    stop += 1
-                texts = []
-                for ids in column.slice(start, stop - start):
-                    a = ids.values.drop_null().to_numpy(zero_copy_only=False).astype("<i4") if ids.is_valid else np.empty(0, "<i4")
-                    if not len(a):
-                        texts.append("")
-                        continue
-                    if a.min() < 0 or a.max() >= len(pieces):
-                        raise ValueError("an id is outside of the vocabulary")
-                    at = opens[a]
-                    at[1:] &= ~blank[a[:-1]]
-                    ends = [*(np.flatnonzero(at[1:]) + 1) * 4, len(a) * 4]
-                    raw, low, keys = a.tobytes(), 0, []
-                    for high in ends:
-                        keys.append(raw[low:high])
-                        low = high
-                    new = [x for x in set(keys) if x not in table]
-                    if new:
-                        if len(table) > 200_000:
-                            table.clear()
-                            new = list(set(keys))
-                        decoded = sp.decode([[nl, *np.frombuffer(x, "<i4").tolist()] for x in new])
-                        table.update((x, t[1:]) for x, t in zip(new, decoded, strict=True))
-                    whole = "".join(map(table.__getitem__, keys))
-                    texts.append(whole[1:] if opens[a[0]] else whole)
-                yield pa.RecordBatch.from_arrays([batch.column("row").slice(start, stop - start), pa.array(texts, pa.string())], ["row", "made"])
+            while start < len(column):
+                done = sizes[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(sizes, done + slice_ids, "right")))
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(start, stop - start), texts_of(column.slice(start, stop - start))], ["row", "made"])
                 start = stop
 
     return _mapped(df, ids_col, "array<int>", out_col, "string", made)
