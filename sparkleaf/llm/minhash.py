@@ -26,7 +26,7 @@ from .components import components
 SLOTS, SEED = 1 << 20, 20
 ROWS, BANDS = 5, 40
 #: Entries that a task gathers before it passes them on; members of a tile's side.
-TASK_ENTRIES, TILE_ROWS = 4_000_000, 256
+TASK_ENTRIES, TILE_ROWS = 4_000_000, 1_024
 #: One-bit coordinates of a sketch, and how far below the threshold its estimate may lie (above five deviations at 0.8).
 SKETCH, SLACK = 4096, 0.05
 _BASE = 0x9FB21C651E98DF25
