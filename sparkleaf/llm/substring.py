@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import FOR_DOCS, U64, WordHashes, as_bytes, blob_column, bounds, by_document, for_docs, mixed, partitions, settle, sliced
 
 PERIOD, COVER = 7, (1, 2, 4)
-#: Entries that a task gathers before it deals them out, and documents that these may come from.
+#: Entries that a task gathers before it deals them out, and documents that these may come from (numbered in 16 bits).
 TASK_ENTRIES, TASK_DOCS = 2_000_000, 65_000
 _BASES = (0xD1B54A32D192ED03, 0xABC98388FB8FAC03)
 _LOW = U64((1 << 40) - 1)
@@ -143,8 +143,8 @@ def shared_anchors(docs: DataFrame, words: int) -> DataFrame:
             for doc, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text"))):
                 keys = np.unique(_anchors(hashes_of(text.split()), words)[1])
                 dealer.add(doc, keys, np.empty(len(keys), "V0"))
-            if dealer.full():
-                yield from dealer.rows()
+                if dealer.full():
+                    yield from dealer.rows()
         yield from dealer.rows()
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,8 +187,8 @@ def later_windows(docs: DataFrame, words: int) -> DataFrame:
                     more = np.empty(len(starts), [("check", "<u4"), ("start", "<u4")])
                     more["check"], more["start"] = check, starts
                     dealer.add(doc, key, more)
-            if dealer.full():
-                yield from dealer.rows()
+                    if dealer.full():
+                        yield from dealer.rows()
         yield from dealer.rows()
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -344,6 +344,19 @@ def test_substring_dedup(spark, texts, n):
     assert substring.dedup_substrings(table(spark, EMPTY), n).count() == 0
 
 
+def test_substring_dedup_numbers_many_short_documents_of_a_task(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:  # 70000 documents in one partition, each later half a window of the earlier one with a word before it
+        docs = spark.range(0, 70000, 1, 1).selectExpr("id AS doc_id", "concat(IF(id < 35000, '', concat('own', id, ' ')), array_join(transform(sequence(0, 12), i -> concat('w', id % 35000, 'x', i)), ' ')) AS text")
+        got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in substring.dedup_substrings(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(got) == 70000
+    assert [i for i in range(35000) if got[i][1]] == []
+    assert [i for i in range(35000, 70000) if got[i] != (f"own{i}", 13)] == []
+
+
 def test_difference_cover_meets_every_pair_of_offsets():
     for a, b in itertools.product(range(substring.PERIOD), repeat=2):
         assert any((a + s) % substring.PERIOD in substring.COVER and (b + s) % substring.PERIOD in substring.COVER for s in range(substring.PERIOD))
