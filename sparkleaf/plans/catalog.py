@@ -702,11 +702,25 @@ SELECT coalesce(f, -1) AS file, count_if(hit)::BIGINT AS found, count(*) AS phra
 """)
 def phrase_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrases found in recognised texts, by file and over all."""
-    t = derive.table(spark, sf_dir, "documents").where("text IS NOT NULL AND doc_id % 10 = 0").select(F.col("doc_id").alias("file"), "text")
+    return _recall(derive.table(spark, sf_dir, "documents").where("text IS NOT NULL AND doc_id % 10 = 0"))
+
+
+def _recall(docs: DataFrame) -> DataFrame:
+    t = docs.select(F.col("doc_id").alias("file"), "text")
     phrases = t.select("file", F.element_at(F.split("text", " "), 1).alias("phrase")).unionByName(t.where("file % 20 = 0").select("file", F.lit("zzqq").alias("phrase")))
     return evaluate.phrase_recall(phrases, t).select(F.coalesce("file", F.lit(-1)).alias("file"), F.col("found").cast("long").alias("found"), "phrases", "recall")
 
 
+@_query("""
+WITH t AS (SELECT doc_id AS f, text FROM documents WHERE text IS NOT NULL), ph AS (SELECT f, split_part(text, ' ', 1) AS p FROM t UNION ALL SELECT f, 'zzqq' FROM t WHERE f % 20 = 0),
+h AS (SELECT f, p, contains(regexp_replace(text, '[^\\p{L}\\p{N}_]', '', 'g'), regexp_replace(p, '[^\\p{L}\\p{N}_]', '', 'g')) AS hit FROM ph JOIN t USING (f))
+SELECT coalesce(f, -1) AS file, count_if(hit)::BIGINT AS found, count(*) AS phrases, count_if(hit) / count(*) AS recall FROM h GROUP BY ROLLUP (f)
+""")
+def phrase_recall_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases found in recognised texts over the whole table, by file and over all."""
+    return _recall(derive.table(spark, sf_dir, "documents").where("text IS NOT NULL"))
+
+
 @_query()
 def greedy_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy matches of labels to parsed nodes by text."""

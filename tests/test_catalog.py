@@ -42,3 +42,14 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def documents(spark, folder, texts):
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_phrase_recall_reads_every_document(spark, tmp_path):
+    rows = catalog.queries()["phrase_recall_all"](spark, documents(spark, tmp_path, [f"word{i} and more" for i in range(25)] + [None])).collect()
+    found = {r["file"]: (r["found"], r["phrases"]) for r in rows}
+    assert found == {i: (1, 2 if i % 20 == 0 else 1) for i in range(25)} | {-1: (25, 27)}
