@@ -54,7 +54,8 @@ def mapping(labels: DataFrame, parsed: DataFrame, threshold: float = 0.8) -> Dat
         rows = _match(a, b, threshold)
         return pd.DataFrame([(key[0], *r) for r in rows], columns=["doc_id", "label", "parsed", "score", "no"])
 
-    clean = lambda df: df.select("doc_id", "ordinal", "order_num", "page_num", F.coalesce(text.evaluation_text("text"), F.lit("")).alias("clean"))
+    # new aliases: where both sides come from one table, Spark would otherwise prune columns that the function reads
+    clean = lambda df: df.select(*[F.col(c).alias(c) for c in ("doc_id", "ordinal", "order_num", "page_num")], F.coalesce(text.evaluation_text("text"), F.lit("")).alias("clean"))
     return clean(labels).groupBy("doc_id").cogroup(clean(parsed).groupBy("doc_id")).applyInPandas(of_document, "doc_id long, label string, parsed string, score double, no int")
 
 

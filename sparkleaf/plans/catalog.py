@@ -643,10 +643,9 @@ mapped AS (SELECT l.doc_id, l.order_num AS label, p.order_num AS parsed, p.ordin
 
 def _nodes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     t = derive.turns(spark, sf_dir)
-    short = F.substring("text", 1, 40).alias("text")
     o = F.col("ordinal")
-    labels = t.select("doc_id", "ordinal", F.concat(F.lit("L"), o.cast("string")).alias("order_num"), F.lit(-1).alias("page_num"), "layout_type", short)
-    parsed = t.where("ordinal % 7 <> 3").select("doc_id", "ordinal", F.concat(F.lit("P"), o.cast("string")).alias("order_num"), F.lit(-1).alias("page_num"), F.when(o % 5 == 0, "Text").otherwise(F.col("layout_type")).alias("layout_type"), short)
+    labels = t.select("doc_id", "ordinal", F.concat(F.lit("L"), o.cast("string")).alias("order_num"), F.lit(-1).alias("page_num"), "layout_type", "text")
+    parsed = t.where("ordinal % 7 <> 3").select("doc_id", "ordinal", F.concat(F.lit("P"), o.cast("string")).alias("order_num"), F.lit(-1).alias("page_num"), F.when(o % 5 == 0, "Text").otherwise(F.col("layout_type")).alias("layout_type"), "text")
     near = labels.select("doc_id", o.alias("lo"), F.col("order_num").alias("label"), F.explode(F.when(o % 4 == 1, F.array(o, o + 1)).otherwise(F.array(o))).alias("ordinal"))
     hits = near.join(parsed.select("doc_id", "ordinal", F.col("order_num").alias("parsed")), ["doc_id", "ordinal"]).select("doc_id", "label", "parsed", F.col("ordinal").alias("no"))
     mapped = labels.select("doc_id", F.col("order_num").alias("label")).join(hits, ["doc_id", "label"], "left")

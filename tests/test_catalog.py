@@ -53,3 +53,19 @@ def test_phrase_recall_reads_every_document(spark, tmp_path):
     rows = catalog.queries()["phrase_recall_all"](spark, documents(spark, tmp_path, [f"word{i} and more" for i in range(25)] + [None])).collect()
     found = {r["file"]: (r["found"], r["phrases"]) for r in rows}
     assert found == {i: (1, 2 if i % 20 == 0 else 1) for i in range(25)} | {-1: (25, 27)}
+
+
+def test_greedy_mapping_reads_whole_texts(spark, tmp_path):
+    same = "an opening of more than forty characters, then "
+    texts = [same + "alpha beta gamma " * 9, same + "0123456789" * 20, same + "the third " * 30]
+    turns = [(1, i, "user", x) for i, x in enumerate(texts)] + [(2, 3, "user", "alone")]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    rows = catalog.queries()["greedy_mapping"](spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["label"], r["parsed"], r["score"]) for r in rows if r["doc_id"] == 1) == [(1, "L0", "P0", 1.0), (1, "L1", "P1", 1.0), (1, "L2", "P2", 1.0)]
+    assert [(r["label"], r["parsed"], r["score"]) for r in rows if r["doc_id"] == 2] == [("L3", None, 0.0)]
+
+
+def test_nodes_hold_whole_texts(spark, tmp_path):
+    spark.createDataFrame([(1, 0, "user", "x" * 100)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    labels, parsed, _ = catalog._nodes(spark, str(tmp_path))
+    assert [r["text"] for r in labels.collect() + parsed.collect()] == ["x" * 100] * 2
