@@ -130,7 +130,16 @@ FROM lines WHERE regexp_matches(text, '^[A-Za-z]') AND NOT regexp_matches(text,
 """)
 def list_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """List types and tags of lines with set prefixes."""
-    rows = derive.lines(spark, sf_dir).where(F.col("text").rlike("^[A-Za-z]") & ~F.col("text").rlike(r"[0-9]\s*$"))
+    return _tags(derive.lines(spark, sf_dir).where(F.col("text").rlike("^[A-Za-z]") & ~F.col("text").rlike(r"[0-9]\s*$")))
+
+
+@_query()
+def list_tags_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """List types and tags of all lines with set prefixes."""
+    return _tags(derive.lines(spark, sf_dir))
+
+
+def _tags(rows: DataFrame) -> DataFrame:
     t = F.concat(F.expr(_TAGGED), F.col("text"))
     return rows.select("doc_id", "line_no", text.list_type(t).alias("list_type"), text.list_tag(t).alias("list_tag"))
 
@@ -463,8 +472,17 @@ SELECT doc_id, page, ordinal, sum(CASE WHEN po IS NULL OR x0 - px0 > 9 OR bold <
 """)
 def paragraph_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs by indent, boldness and short lines."""
-    rows = derive.with_box(derive.boxes(spark, sf_dir)).where(F.col("text").rlike("^[A-Za-z]") & ~F.col("text").rlike(r"[0-9]\s*$"))
-    rows = rows.select("doc_id", "page", "ordinal", "text", "box", F.lit(10.0).alias("size"), (F.length("text") % 6 == 0).alias("bold"))
+    return _paragraphs(derive.boxes(spark, sf_dir).where(F.col("text").rlike("^[A-Za-z]") & ~F.col("text").rlike(r"[0-9]\s*$")))
+
+
+@_query()
+def paragraph_split_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of all lines by list tag, indent, boldness and short lines."""
+    return _paragraphs(derive.boxes(spark, sf_dir))
+
+
+def _paragraphs(boxes: DataFrame) -> DataFrame:
+    rows = derive.with_box(boxes).select("doc_id", "page", "ordinal", "text", "box", F.lit(10.0).alias("size"), (F.length("text") % 6 == 0).alias("bold"))
     return relations.paragraphs(rows).select("doc_id", "page", "ordinal", "paragraph")
 
 

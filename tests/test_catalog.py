@@ -1,6 +1,7 @@
 """Every registered document query against its DuckDB SQL on a small scale, and the entry points."""
 
 import os
+import re
 
 import duckdb
 import pytest
@@ -69,3 +70,28 @@ def test_nodes_hold_whole_texts(spark, tmp_path):
     spark.createDataFrame([(1, 0, "user", "x" * 100)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     labels, parsed, _ = catalog._nodes(spark, str(tmp_path))
     assert [r["text"] for r in labels.collect() + parsed.collect()] == ["x" * 100] * 2
+
+
+LINES = ["Plain words", "12 begins with digits", "(x bracket", "ends in 7", "Élan", '"quoted', "• item", "• item", "", "3. own tag", "b) own tag", "words that go on to be rather long", "words that go on to be very long x", "1. own tag of much the same length"]
+
+
+def test_list_tags_of_all_lines(spark, tmp_path):
+    rows = catalog.queries()["list_tags_all"](spark, documents(spark, tmp_path, ["\n".join(LINES)])).collect()
+    got = {r["line_no"]: (r["list_type"], r["list_tag"]) for r in rows}
+    of = {0: ("11", "1. "), 1: ("10", "2.3 "), 2: ("18", "（一）"), 3: ("21", "①"), 4: ("26", "第三章 "), 5: ("★", "★"), 6: ("19", "b) "), 7: (None, None)}
+    assert got == {i: of[i % 8] for i in range(len(LINES))}
+
+
+def test_paragraphs_of_all_lines(spark, tmp_path):
+    rows = catalog.queries()["paragraph_split_all"](spark, documents(spark, tmp_path, ["\n".join(LINES)])).collect()
+    tag = re.compile(r"\s*(\d+\s*\.|[a-z]\)|•)")
+    expect = {}
+    for page in range(0, len(LINES), 4):
+        lines = LINES[page : page + 4]
+        x0 = [72 + 250 * (i == 3) for i in range(len(lines))]
+        x1 = [x + min(2 * len(t), 400) for x, t in zip(x0, lines)]
+        n = 0
+        for i, t in enumerate(lines):
+            n += i == 0 or bool(tag.match(t)) or x0[i] - x0[i - 1] > 9 or (len(t) % 6 == 0) != (len(lines[i - 1]) % 6 == 0) or x1[i - 1] < max(x1) - 12
+            expect[page // 4, i] = n
+    assert {(r["page"], r["ordinal"]): r["paragraph"] for r in rows} == expect
