@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
-from test_operators import DOCS, brute_components, brute_lines, brute_quality, prose
+from test_llm_operators import DOCS, brute_components, brute_lines, brute_quality, prose
 
 from sparkleaf.llm import queries
 
