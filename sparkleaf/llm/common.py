@@ -27,12 +27,14 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) an own one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset on a local master an own one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     set_before = spark.sparkContext.getCheckpointDir()
     if set_before is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="sparkleaf-"))
         set_before = spark.sparkContext.getCheckpointDir()
     return set_before.rstrip("/")
@@ -43,7 +45,22 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sparkleaf-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `settle` wrote and that nothing unfinished reads any more."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(df._settled_at)
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def parts_for(spark: SparkSession, entries: int, part_entries: int = 2_000_000) -> int:
+    """Hash parts for so many entries: part_entries in each at most on average, and no fewer than the session's partitions."""
+    return max(partitions(spark), -(-entries // part_entries))
 
 
 def sliced(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -73,6 +90,8 @@ def strings(values: list[str]) -> pa.Array:
 def blob_column(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
     """A binary column of the bytes of data between neighbouring cuts (row indices, from 0 to len(data))."""
     width = data.dtype.itemsize
+    if int(cuts[-1]) * width >= 1 << 31:
+        raise ValueError("blobs of a batch are limited to 2 GiB")
     return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 

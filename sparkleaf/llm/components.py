@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import discard, settle
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -36,7 +36,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not state[0]:
             break
-        edges = settle(_stars(_stars(edges, True), False), "stars")
+        last, edges = edges, settle(_stars(_stars(edges, True), False), "stars")
+        discard(last)
         before, state = state, mark(edges)
         if before == state:
             break
