@@ -1,10 +1,13 @@
 """Personal data: rules for well-formed kinds, and a character BiLSTM with CRF transitions for what they miss.
 
 The tagger is trained in numpy from labelled spans that a generator makes (well-formed and sloppy mentions in invented prose,
-beside numbers, dates, keys and versions that are no personal data). Every kind holds a digit or an at sign, so windows
-are laid over the neighbourhoods of all such characters of a text; overlapping windows are decoded on their own and each
-character takes its tag from the window in which it stands farthest from an edge. Spans are read from the whole
-text's tags, checked for form, and added to the rules' spans where they overlap none.
+beside numbers, dates, keys and versions that are no personal data). A grid of overlapping windows covers every text; each
+window is decoded on its own and each character takes its tag from the window in which it stands farthest from an edge.
+Spans are read from the whole text's tags, checked for form, and added to the rules' spans where they overlap none.
+
+Only characters of runs that a well-formed span may hold can change the result (digits with their punctuation, or a local part, an
+at sign and a domain), together with one character on each side. Windows that give no such character its tag are
+left out; what is found is the same as with all windows (`everywhere`), however long a run is.
 """
 
 from __future__ import annotations
@@ -20,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import Payload, row_type, sliced
 
 KINDS = ("email", "ip", "card", "phone")
 #: Tags: 0 outside; 1 + 2 * kind begins a span, 2 + 2 * kind continues it.
 TAGS = 1 + 2 * len(KINDS)
-WINDOW, STRIDE, REACH = 64, 32, 28
+WINDOW, STRIDE = 128, 64
 EMBED, HIDDEN = 12, 20
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -34,6 +37,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TRIGGER = re.compile("[0-9@]")
+#: From a digit over all that spans of numbers may hold or that is stripped from their ends.
+_NUMBERS = re.compile(r"[0-9][0-9.,()+\s-]*")
+_NUMBER_CHARS = frozenset("0123456789.,()+-")
+_STRIPPED = " .,-\n"
 
 
 def luhn(digits: str) -> bool:
@@ -224,6 +231,10 @@ def labelled(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
         if kind == 0:
             local = plain() + rng.choice(["", "." + plain(), "." + d(2), "_" + d(1), d(2)])
             domain = plain() + rng.choice(["", d(1)]) + rng.choice([".com", ".org", ".example.com", ".de", ".co.uk"])
+            if rng.random() < 0.15:  # long ones
+                local = rng.choice(["", local + "."]) + rng.choice("._-+").join(plain() for _ in range(rng.randint(3, 9)))
+            if rng.random() < 0.15:
+                domain = rng.choice(".-").join(plain() for _ in range(rng.randint(2, 8))) + "." + domain
             return local + rng.choice(["@", "@", "@", " @ ", "@ "]) + domain
         if kind == 1:
             return rng.choice([".", ".", ".", ". "]).join(str(rng.randint(0, 255)) for _ in range(4))
@@ -232,7 +243,7 @@ def labelled(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
             n += next(c for c in "0123456789" if luhn(n + c))
             return n if rng.random() < 0.6 else rng.choice([" ", "-", ".", "  "]).join(n[i : i + 4] for i in range(0, 16, 4))
         a, b, c = d(3), d(3), d(4)
-        return rng.choice([f"+1 ({a}) {b}-{c}"] * 3 + [f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"00{d(2)} {d(2)} {d(4)} {d(4)}", f"+{d(2)} {d(2)} {d(7)}", f"+{d(2)}-{a}-{b}-{c}", f"{a}.{b}.{c}"])
+        return rng.choice([f"+1 ({a}) {b}-{c}"] * 3 + [f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"00{d(2)} {d(2)} {d(4)} {d(4)}", f"+{d(2)} {d(2)} {d(7)}", f"+{d(2)}-{a}-{b}-{c}", f"{a}.{b}.{c}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"0{d(2)} {d(7)}"])
 
     def other() -> str:
         y = str(rng.randint(1900, 2060))
@@ -260,7 +271,7 @@ def labelled(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
 
 
 @lru_cache(1)
-def train(steps: int = 300, batch: int = 32, seed: int = 11, rate: float = 0.015) -> Tagger:
+def train(steps: int = 300, batch: int = 16, seed: int = 11, rate: float = 0.015) -> Tagger:
     """A tagger trained with Adam on windows of generated texts; the same for the same arguments."""
     rng, np_rng = random.Random(seed), np.random.default_rng(seed)
     init = lambda *shape: (np_rng.standard_normal(shape) / np.sqrt(shape[-2] if len(shape) > 1 else 1)).astype(np.float32)
@@ -292,34 +303,75 @@ def train(steps: int = 300, batch: int = 32, seed: int = 11, rate: float = 0.015
     return m
 
 
+def _states(table: np.ndarray, wh: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Hidden states of one direction; table: what each character class adds to the gates."""
+    h = np.zeros((len(x), HIDDEN), table.dtype)
+    c, hs = np.zeros_like(h), np.empty((x.shape[1], len(x), HIDDEN), table.dtype)
+    for i in range(x.shape[1]):
+        g = table[x[:, i]]
+        g += h @ wh
+        s = _sigmoid(g[:, : 3 * HIDDEN])
+        c = s[:, HIDDEN : 2 * HIDDEN] * c + s[:, :HIDDEN] * np.tanh(g[:, 3 * HIDDEN :])
+        h = s[:, 2 * HIDDEN :] * np.tanh(c)
+        hs[i] = h
+    return hs
+
+
 def viterbi(m: Tagger, x: np.ndarray) -> np.ndarray:
     """The best tags of each window; padding is outside."""
-    em, _ = _emissions(m, x)
-    em[x == 0] = -1e4
-    em[:, :, 0][x == 0] = 0
-    n, t, _ = em.shape
-    trans = m.trans + _allowed()
-    score, back = em[:, 0].copy(), np.empty((n, t, TAGS), np.int64)
+    n, t = x.shape
+    tables = m.embed @ m.wx + m.b[:, None, :]
+    h = np.concatenate((_states(tables[0], m.wh[0], x), _states(tables[1], m.wh[1], x[:, ::-1])[::-1]), axis=2)
+    em = h @ m.out + m.bias
+    em[x.T == 0] = -1e4
+    em[:, :, 0][x.T == 0] = 0
+    trans = (m.trans + _allowed()).T
+    score, back = em[0].copy(), np.empty((t, n, TAGS), np.int8)
     for i in range(1, t):
-        all_ = score[:, :, None] + trans
-        back[:, i] = all_.argmax(axis=1)
-        score = all_.max(axis=1) + em[:, i]
-    tags = np.empty((n, t), np.int64)
-    tags[:, -1] = score.argmax(axis=1)
+        all_ = score[:, None, :] + trans
+        back[i] = all_.argmax(axis=2)
+        score = all_.max(axis=2) + em[i]
+    tags = np.empty((t, n), np.int8)
+    tags[-1] = score.argmax(axis=1)
+    rows = np.arange(n)
     for i in range(t - 1, 0, -1):
-        tags[:, i - 1] = back[np.arange(n), i, tags[:, i]]
-    return tags
+        tags[i - 1] = back[i, rows, tags[i]]
+    return tags.T
+
 
+def grid(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the windows over a text of n characters, and the ends of the parts whose tags they give.
 
-def windows(text: str) -> list[int]:
-    """Starts of the overlapping windows that cover the neighbourhood of every digit and at sign."""
-    starts, covered = [], 0
-    for m in _TRIGGER.finditer(text):
-        low, high = max(0, m.start() - REACH), m.start() + REACH
-        while covered < high:
-            starts.append(low if not starts or low >= covered else starts[-1] + STRIDE)
-            covered = starts[-1] + WINDOW
-    return starts
+    A character's tag comes from the window in which it stands farthest from an edge that isn't the text's own; the earlier of two.
+    """
+    starts = np.arange(0, max(1, n - WINDOW + STRIDE), STRIDE)
+    starts[-1] = max(0, n - WINDOW)  # the last one ends with the text
+    return starts, np.append((starts[:-1] + starts[1:] + WINDOW - 1) // 2 + 1, n)
+
+
+def candidate_runs(text: str) -> list[tuple[int, int]]:
+    """Runs that can hold a well-formed span, with what may be stripped from its ends and one character more on each side."""
+    runs, n = [], len(text)
+    for m in _NUMBERS.finditer(text):
+        start = m.start()
+        while start and (text[start - 1] in _NUMBER_CHARS or text[start - 1].isspace()):
+            start -= 1
+        runs.append((max(0, start - 1), min(n, m.end() + 1)))
+    at = text.find("@")
+    while at >= 0:
+        start = at - (at > 0 and text[at - 1].isspace())
+        while start and text[start - 1] in _LOCAL:
+            start -= 1
+        while start and text[start - 1] in _STRIPPED:
+            start -= 1
+        end = at + 1 + (at + 1 < n and text[at + 1].isspace())
+        while end < n and text[end] in _LOCAL:
+            end += 1
+        while end < n and text[end] in _STRIPPED:
+            end += 1
+        runs.append((max(0, start - 1), min(n, end + 1)))
+        at = text.find("@", at + 1)
+    return runs
 
 
 def _well_formed(kind: int, s: str) -> bool:
@@ -332,52 +384,66 @@ def _well_formed(kind: int, s: str) -> bool:
         return bool(re.fullmatch(r"[0-9]{1,3}(\s?\.\s?[0-9]{1,3}){3}", s)) and all(int(p) <= 255 for p in s.split("."))
     if kind == 2:
         return 13 <= len(digits) <= 19 and bool(re.fullmatch(r"[0-9](([ .-]|  )?[0-9])+", s)) and luhn(digits)
-    shape = re.fullmatch(r"(\+|00)[0-9][0-9 ().-]+[0-9]|\([0-9]{2,5}\)[0-9 .-]+[0-9]|[0-9]{3}[-. ][0-9]{3}[-. ][0-9]{4}", s)
+    shape = re.fullmatch(r"(\+|00)[0-9][0-9 ().-]+[0-9]|\([0-9]{2,5}\)[0-9 .-]+[0-9]|[0-9]{3}[-. ][0-9]{3}[-. ][0-9]{4}|0[0-9]([ -][0-9]{2}){4}|0[0-9]{2,4}[ -][0-9]{6,8}", s)
     return bool(shape) and 9 <= len(digits) <= 15
 
 
-def added_spans(m: Tagger, texts: list[str], base: list[list[list[tuple[int, int]]]], batch: int = 256) -> list[list[list[tuple[int, int]]]]:
-    """The tagger's spans of each text and kind that overlap no base span."""
-    jobs = [(i, s) for i, t in enumerate(texts) for s in windows(t)]
-    coded = {i: codes(texts[i]) for i in {i for i, _ in jobs}}
-    votes: dict[int, dict[int, tuple[int, int]]] = {}
-    for lo in range(0, len(jobs), batch):
-        part = jobs[lo : lo + batch]
-        x = np.zeros((len(part), WINDOW), np.int64)
-        for k, (i, s) in enumerate(part):
+def _read(text: str, tags: np.ndarray, base: list[list[tuple[int, int]]]) -> list[list[tuple[int, int]]]:
+    """Well-formed spans of each kind in a text's tags that overlap no base span."""
+    out: list[list[tuple[int, int]]] = [[] for _ in KINDS]
+    at = np.flatnonzero(tags)
+    if not len(at):
+        return out
+    found = tags[at].astype(np.int64)
+    kinds = (found - 1) // 2
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1] + 1) | (found[1:] % 2 == 1) | (kinds[1:] != kinds[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(at)) - 1
+    taken = sorted(x for spans in base for x in spans)
+    for kind, start, end in zip(kinds[first].tolist(), at[first].tolist(), (at[last] + 1).tolist(), strict=True):
+        while start < end and text[end - 1] in _STRIPPED:
+            end -= 1
+        while start < end and text[start] in _STRIPPED:
+            start += 1
+        whole = (start == 0 or not text[start - 1].isalnum()) and (end == len(text) or not text[end].isalnum())
+        if end > start and whole and _well_formed(kind, text[start:end]) and not any(a < end and start < b for a, b in taken):
+            out[kind].append((start, end))
+    return out
+
+
+def added_spans(m: Tagger, texts: list[str], base: list[list[list[tuple[int, int]]]], batch: int = 256, everywhere: bool = False) -> list[list[list[tuple[int, int]]]]:
+    """The tagger's spans of each text and kind that overlap no base span; everywhere: no window is left out."""
+    tags: dict[int, np.ndarray] = {}
+    coded: dict[int, np.ndarray] = {}
+    jobs: list[tuple[int, int, int, int]] = []
+
+    def decoded() -> None:
+        x = np.zeros((len(jobs), WINDOW), np.int64)
+        for k, (i, s, _, _) in enumerate(jobs):
             c = coded[i][s : s + WINDOW]
             x[k, : len(c)] = c
-        for (i, s), tags in zip(part, viterbi(m, x), strict=True):
-            own = votes.setdefault(i, {})
-            size = min(WINDOW, len(texts[i]) - s)
-            for j in range(size):  # farther from an edge that isn't the text's own wins; then the earlier window
-                depth = min(j if s else WINDOW, size - 1 - j if s + size < len(texts[i]) else WINDOW)
-                if s + j not in own or own[s + j][0] < depth:
-                    own[s + j] = (depth, int(tags[j]))
-    out = [[[] for _ in KINDS] for _ in texts]
-    for i, own in votes.items():
-        taken = sorted(x for spans in base[i] for x in spans)
-        spans: list[list[int]] = []
-        last = -2
-        for at in sorted(own):
-            tag = own[at][1]
-            if not tag:
-                continue
-            kind = (tag - 1) // 2
-            if spans and at == last + 1 and tag % 2 == 0 and spans[-1][0] == kind:
-                spans[-1][2] = at + 1
-            else:
-                spans.append([kind, at, at + 1])
-            last = at
-        for kind, start, end in spans:
-            while start < end and texts[i][end - 1] in " .,-\n":
-                end -= 1
-            while start < end and texts[i][start] in " .,-\n":
-                start += 1
-            whole = (start == 0 or not texts[i][start - 1].isalnum()) and (end == len(texts[i]) or not texts[i][end].isalnum())
-            if end > start and whole and _well_formed(kind, texts[i][start:end]) and not any(a < end and start < b for a, b in taken):
-                out[i][kind].append((start, end))
-    return out
+        for (i, s, low, high), found in zip(jobs, viterbi(m, x), strict=True):
+            tags[i][low:high] = found[low - s : high - s]
+        jobs.clear()
+
+    for i, text in enumerate(texts):
+        starts, ends = grid(len(text))
+        if everywhere:
+            chosen = np.arange(len(starts))
+        else:
+            runs = candidate_runs(text)
+            pairs = [(int(np.searchsorted(ends, a, "right")), int(np.searchsorted(ends, b - 1, "right"))) for a, b in runs]
+            chosen = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in pairs])) if pairs else np.empty(0, np.int64)
+        if len(chosen) and text:
+            coded[i], tags[i] = codes(text), np.zeros(len(text), np.int8)
+            for k in chosen.tolist():
+                jobs.append((i, int(starts[k]), int(ends[k - 1]) if k else 0, int(ends[k])))
+                if len(jobs) == batch:
+                    decoded()
+    if jobs:
+        decoded()
+    return [_read(t, tags[i], base[i]) if i in tags else [[] for _ in KINDS] for i, t in enumerate(texts)]
 
 
 def spans_of(model: Tagger, texts: list[str | None]) -> list[list[tuple[int, int, int, bool]]]:
@@ -411,11 +477,11 @@ def find(df: DataFrame, text_col: str = "text", out_col: str = "pii", tagger: Ta
 
     Positions count code points, ends are exclusive; spans come by kind (email, ip, card, phone), then start. base: found by the
     rules (leftmost, not overlapping within a kind), which all stay; the others are the tagger's and overlap no base span. A null text counts as
-    empty and has none. An existing column of that name is replaced; rows keep their number.
+    empty and has none. An existing column of that name (in any case) is replaced, others may have any name; rows keep their number.
     """
     model = tagger or train()
-    kept = [c for c in df.columns if c != out_col]
-    row = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    held = Payload(df, (out_col,))
+    row = held.df.select(held.row(), held[text_col].cast("string").alias("text"))
     kind_type = "array<struct<kind:string,start:int,end:int,base:boolean>>"
     arrow_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
 
@@ -424,7 +490,7 @@ def find(df: DataFrame, text_col: str = "text", out_col: str = "pii", tagger: Ta
             out = [[{"kind": KINDS[k], "start": s, "end": e, "base": f} for k, s, e, f in spans] for spans in spans_of(model, batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, arrow_type)], ["row", "pii"])
 
-    return row.mapInArrow(tag, f"row {row.schema['row'].dataType.simpleString()}, pii {kind_type}").select(*[F.col(f"row.`{c}`") for c in kept], F.col("pii").alias(out_col))
+    return row.mapInArrow(tag, f"{row_type(row)}, pii {kind_type}").select(*held.back(), F.col("pii").alias(out_col))
 
 
 def mask(df: DataFrame, text_col: str = "text", tagger: Tagger | None = None) -> DataFrame:
@@ -433,7 +499,8 @@ def mask(df: DataFrame, text_col: str = "text", tagger: Tagger | None = None) ->
     Overlapping spans are masked as one, under the kind that starts first (longest, then by kind).
     """
     model = tagger or train()
-    row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text_col]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    held = Payload(df)
+    row = held.df.select(held.row(text_col), held[text_col].cast("string").alias("text"))
 
     def masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
@@ -441,5 +508,4 @@ def mask(df: DataFrame, text_col: str = "text", tagger: Tagger | None = None) ->
             texts = [masked_text(t, spans) if spans else t for t, spans in zip(texts, spans_of(model, texts), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
 
-    out = row.mapInArrow(masked, f"row {row.schema['row'].dataType.simpleString()}, text string")
-    return out.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in df.columns])
+    return row.mapInArrow(masked, f"{row_type(row)}, text string").select(*held.back(**{text_col: F.col("text")}))
