@@ -11,7 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 WORD_SPACE = b" \t\n\v\f\r"
@@ -63,6 +64,44 @@ def parts_for(spark: SparkSession, entries: int, part_entries: int = 2_000_000)
     return max(partitions(spark), -(-entries // part_entries))
 
 
+class Payload:
+    """A DataFrame under neutral column names, so that no name of its columns can clash or need quoting.
+
+    Names are looked up as they are written, else without regard to case. Columns named like one of `replaced` (in any case) are
+    left out of `row` and `back`, to be added anew.
+    """
+
+    def __init__(self, df: DataFrame, replaced: tuple[str, ...] = ()):
+        gone = {x.lower() for x in replaced}
+        self.names = df.columns
+        self.df = df.toDF(*[f"c{i}" for i in range(len(self.names))])
+        self.kept = [i for i, c in enumerate(self.names) if c.lower() not in gone]
+
+    def place(self, name: str) -> int:
+        found = [i for i, c in enumerate(self.names) if c == name] or [i for i, c in enumerate(self.names) if c.lower() == name.lower()]
+        if not found:
+            raise ValueError(f"no column {name}")
+        return found[0]
+
+    def __getitem__(self, name: str) -> Column:
+        return F.col(f"c{self.place(name)}")
+
+    def row(self, *without: str) -> Column:
+        """A struct of the columns that stay, but for `without`."""
+        out = {self.place(x) for x in without}
+        return F.struct(F.lit(True).alias("r"), *[F.col(f"c{i}") for i in self.kept if i not in out]).alias("row")
+
+    def back(self, **new: Column) -> list[Column]:
+        """The columns that stay under their names, read from `row` but for those in `new`."""
+        at = {self.place(x): c for x, c in new.items()}
+        return [at.get(i, F.col(f"row.c{i}")).alias(self.names[i]) for i in self.kept]
+
+
+def row_type(df: DataFrame) -> str:
+    """The type of the column `row`, as it is written in a schema."""
+    return f"row {df.schema['row'].dataType.simpleString()}"
+
+
 def sliced(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches into slices whose `column` holds about max_bytes at most; a longer single value stands alone."""
     for batch in batches:
@@ -146,34 +185,50 @@ def bounds(sorted_values: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.flatnonzero(sorted_values[1:] != sorted_values[:-1]) + 1, [n])).astype(np.int64)
 
 
+#: A document: its id, and a hash of its text where rows of one id are kept apart (else 0).
+DOCUMENT = np.dtype([("id", "<i8"), ("text", "<i8")])
 FOR_DOCS = "part int, docs binary, counts binary, values binary"
 
 
+def documents(ids: np.ndarray, text_hashes: np.ndarray | int = 0) -> np.ndarray:
+    out = np.empty(len(ids), DOCUMENT)
+    out["id"], out["text"] = ids, text_hashes
+    return out
+
+
 def for_docs(docs: np.ndarray, values: np.ndarray, parts: int) -> pa.RecordBatch:
-    """Rows (part, docs, counts, values): the values of each document, a row for each part that documents are dealt to."""
-    order = np.lexsort((docs, mixed(docs.astype(U64)) % U64(parts)))
-    docs, values = docs[order], values[order]
-    cuts = bounds(docs)
-    ids = docs[cuts[:-1]]
-    part = (mixed(ids.astype(U64)) % U64(parts)).astype(np.int32)
+    """Rows (part, docs, counts, values): the values of each document (of type DOCUMENT), a row for each part they are dealt to."""
+    part = mixed(docs["id"].astype(U64)) % U64(parts)
+    order = np.lexsort((docs["text"], docs["id"], part))
+    docs, values, part = docs[order], values[order], part[order].astype(np.int32)
+    new = np.ones(len(docs), bool)
+    new[1:] = docs[1:] != docs[:-1]
+    cuts = np.append(np.flatnonzero(new), len(docs))
+    part = part[cuts[:-1]]
     at = bounds(part)
-    return pa.RecordBatch.from_arrays([pa.array(part[at[:-1]]), blob_column(ids, at), blob_column(np.diff(cuts), at), blob_column(values, cuts[at])], ["part", "docs", "counts", "values"])
+    return pa.RecordBatch.from_arrays([pa.array(part[at[:-1]]), blob_column(docs[cuts[:-1]], at), blob_column(np.diff(cuts), at), blob_column(values, cuts[at])], ["part", "docs", "counts", "values"])
 
 
 def by_document(rows: DataFrame, parts: int, dtype) -> DataFrame:
-    """(doc_id, found): one blob of all values for each document of rows from for_docs."""
+    """(doc_id, text_hash, found): one blob of all values for each document of rows from for_docs."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(unblob(b.column("docs"), np.int64), unblob(b.column("counts"), np.int64), unblob(b.column("values"), dtype)) for b in batches]
+        held = [(unblob(b.column("docs"), DOCUMENT), unblob(b.column("counts"), np.int64), unblob(b.column("values"), dtype)) for b in batches]
         if not held:
             return
         docs, counts, values = (np.concatenate(x) for x in zip(*held, strict=True))
         docs = np.repeat(docs, counts)
-        order = np.argsort(docs, kind="stable")
-        cuts = bounds(docs[order])
-        yield pa.RecordBatch.from_arrays([pa.array(docs[order][cuts[:-1]]), blob_column(values[order], cuts)], ["doc_id", "found"])
-
-    return rows.repartition(parts, "part").mapInArrow(join, "doc_id long, found binary")
+        order = np.lexsort((docs["text"], docs["id"]))
+        docs, values = docs[order], values[order]
+        new = np.ones(len(docs), bool)
+        new[1:] = docs[1:] != docs[:-1]
+        cuts = np.append(np.flatnonzero(new), len(docs))
+        for lo in range(0, len(cuts) - 1, 10_000):  # batches of blobs stay small
+            at = cuts[lo : lo + 10_001]
+            first = docs[at[:-1]]
+            yield pa.RecordBatch.from_arrays([pa.array(first["id"]), pa.array(first["text"]), blob_column(values[at[0] : at[-1]], at - at[0])], ["doc_id", "text_hash", "found"])
+
+    return rows.repartitionById(parts, F.col("part")).mapInArrow(join, "doc_id long, text_hash long, found binary")
 
 
 def tokenizer_file(name_or_path: str) -> str:

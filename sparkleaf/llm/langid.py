@@ -7,6 +7,7 @@ follow-the-regularised-leader with elastic-net penalties, and a temperature fitt
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import Payload, row_type, sliced
 
 BUCKETS = 1 << 15
 #: Labelled rows that are fitted on, at most, for each label: the ones whose hashed doc_id comes first.
@@ -29,7 +30,7 @@ _MUL = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 def _letters() -> np.ndarray:
     """Of each code point: its lower case if it is a letter, else a blank."""
     out = np.full(0x110000, 32, np.uint32)
-    for i in range(0x30000):
+    for i in range(sys.maxunicode + 1):
         c = chr(i)
         if c.isalpha():
             low = c.lower()
@@ -173,8 +174,11 @@ def fit(train: DataFrame, rows_per_label: int = TRAIN_ROWS_PER_LABEL) -> Model:
         df[bucket] = n
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 0.1
 
+    # a hash keeps about twice the rows that are asked for, whatever the label's share, before any are ranked
+    sizes = train.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    near = train.select("doc_id", "lang").join(sizes, "lang").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.col("n"))).where(F.col("h") < 2 * rows_per_label + 100)
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    picked = train.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= rows_per_label)
+    picked = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= rows_per_label)
     sample = train.join(F.broadcast(picked.select("doc_id", "r").dropDuplicates(["doc_id"])), "doc_id")  # at most rows_per_label rows of each label
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,18 +203,18 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", label_col: str
     """All columns of df, lang_pred string and score double (0 to 1), from the whole text alone.
 
     A null text, or one without a letter, is `und` with score 0, as is every text for a model without labels. Existing columns of
-    those names are replaced; rows keep their number.
+    those names (in any case) are replaced, others may have any name; rows keep their number.
     """
-    kept = [c for c in df.columns if c not in (label_col, score_col)]
-    row = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    schema = f"row {row.schema['row'].dataType.simpleString()}, label string, score double"
+    held = Payload(df, (label_col, score_col))
+    row = held.df.select(held.row(), held[text_col].cast("string").alias("text"))
+    schema = f"{row_type(row)}, label string, score double"
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", 1 << 20):
             labels, scores = model.predict([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(labels, pa.string()), pa.array(scores)], ["row", "label", "score"])
 
-    return row.mapInArrow(label, schema).select(*[F.col(f"row.`{c}`") for c in kept], F.col("label").alias(label_col), F.col("score").alias(score_col))
+    return row.mapInArrow(label, schema).select(*held.back(), F.col("label").alias(label_col), F.col("score").alias(score_col))
 
 
 def fold(id_col: str = "doc_id") -> Column:

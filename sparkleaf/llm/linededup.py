@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOR_DOCS, U64, WORD_SPACE, as_bytes, blob_column, bounds, by_document, for_docs, partitions, sliced, unblob
+from .common import FOR_DOCS, U64, WORD_SPACE, Payload, as_bytes, blob_column, bounds, by_document, documents, for_docs, partitions, row_type, sliced, unblob
 
 KEY = "S16"
 #: Runs of a level before they are compacted.
@@ -96,7 +96,7 @@ _ROW = f"own boolean, {FOR_DOCS}"
 
 def _lost(keys: np.ndarray, docs: np.ndarray, parts: int) -> pa.RecordBatch:
     """Rows of lost (key, document) pairs, dealt by document."""
-    rows = for_docs(docs, keys, parts)
+    rows = for_docs(documents(docs), keys, parts)
     return pa.RecordBatch.from_arrays([pa.array(np.zeros(rows.num_rows, bool)), *rows.columns], ["own", *rows.schema.names])
 
 
@@ -144,8 +144,8 @@ def lost_lines(docs: DataFrame, min_chars: int = 10, fanout: int = FANOUT) -> Da
                     yield _lost(*lost, parts)
 
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    lost = rows.mapInArrow(local, _ROW).repartition(parts, "part").mapInArrow(merged, _ROW)
-    return by_document(lost.drop("own"), parts, KEY)
+    lost = rows.mapInArrow(local, _ROW).repartitionById(parts, F.col("part")).mapInArrow(merged, _ROW)
+    return by_document(lost.drop("own"), parts, KEY).select("doc_id", "found")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10, fanout: int = FANOUT) -> DataFrame:
@@ -155,14 +155,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, fanout: int = FANOUT) -> D
     without ASCII white space at its ends and with A-Z in lower case. Keys of min_chars code points or more that are found
     in several documents lose all their lines except in the smallest doc_id that holds them; repeats inside a document
     stay together. The other lines stay, joined by newlines. Rows with a null doc_id hold no line and lose none; rows of
-    one doc_id count as one document. Keys are compared by 128-bit hashes. Columns n_lines and n_dropped are replaced.
+    one doc_id count as one document. Keys are compared by 128-bit hashes. Columns n_lines and n_dropped (in any case) are replaced;
+    other columns may have any name.
     """
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    docs = docs.select(*[F.col(f"`{c}`") for c in kept])
-    lost = lost_lines(docs, min_chars, fanout).select(F.col("doc_id").alias("__doc"), F.col("found").alias("__keys"))
-    joined = docs.join(lost, F.col("doc_id").cast("long") == F.col("__doc"), "left")
-    row = joined.select(F.struct(*[F.col(f"`{c}`") for c in kept if c != "text"]).alias("row"), F.col("text").cast("string").alias("text"), F.col("__keys").alias("keys"))
-    schema = f"row {row.schema['row'].dataType.simpleString()}, text string, n_lines long, n_dropped long"
+    held = Payload(docs, ("n_lines", "n_dropped"))
+    base = held.df.select(held.row("text"), held["text"].cast("string").alias("text"), held["doc_id"].cast("long").alias("doc_id"))
+    lost = lost_lines(base.select("doc_id", "text"), min_chars, fanout).withColumnRenamed("found", "keys")
+    row = base.join(lost, "doc_id", "left").select("row", "text", "keys")
+    schema = f"{row_type(row)}, text string, n_lines long, n_dropped long"
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
@@ -180,5 +180,4 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, fanout: int = FANOUT) -> D
             text = pa.array(raw, pa.binary()).cast(pa.string()) if any(dropped) else column
             yield pa.RecordBatch.from_arrays([batch.column("row"), text, pa.array(n_lines, pa.int64()), pa.array(dropped, pa.int64())], ["row", "text", "n_lines", "n_dropped"])
 
-    out = row.mapInArrow(rewrite, schema)
-    return out.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in kept], "n_lines", "n_dropped")
+    return row.mapInArrow(rewrite, schema).select(*held.back(text=F.col("text")), "n_lines", "n_dropped")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, tokenizer_file
+from .common import Payload, sliced, tokenizer_file
 from .tokencount import BATCH_BYTES, bpe, bpe_table, cuts_at_spaces
 
 #: Documents of a packing group, on average.
@@ -100,13 +100,11 @@ def pack(pieces: DataFrame, max_tokens: int = 2048, max_docs: int | None = None,
     Each sequence holds at most max_tokens tokens, max_docs pieces (None: as many as fit) and max_attention of summed
     squared lengths (None: not binding), gapless from offset 0. Pieces are dealt into `groups` by a hash of doc_id and
     piece, whatever repeats; equal lengths go by doc_id, piece. A piece of length 0 (or null) takes a place of its own
-    length; one that no empty sequence can hold fails. Columns sequence_id and offset of the input are replaced.
+    length; one that no empty sequence can hold fails. A null doc_id or piece goes before others of its length. Columns sequence_id
+    and offset of the input (in any case) are replaced; other columns may have any name.
     """
     docs_cap, cost_cap = max_docs or max(max_tokens, 1), max_attention or max_tokens**2
-    kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    schema = pieces.select(*[f"`{c}`" for c in kept]).schema
-    for name in ("sequence_id", "offset"):
-        schema = schema.add(name, "long")
+    held = Payload(pieces, ("sequence_id", "offset"))
 
     def place(key: tuple, group: pa.Table) -> pa.Table:
         lengths = np.asarray(group["length"].fill_null(0)).astype(np.int64)
@@ -116,11 +114,12 @@ def pack(pieces: DataFrame, max_tokens: int = 2048, max_docs: int | None = None,
         order = np.lexsort((np.asarray(group["piece"].fill_null(0)), ids, -lengths))
         bins, offsets = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
         bins[order], offsets[order] = best_fit(lengths[order], max_tokens, docs_cap, cost_cap, weights, by)
-        out = group.drop_columns(["__group"])
-        return out.append_column("sequence_id", pa.array(bins + (key[0].as_py() << 32))).append_column("offset", pa.array(offsets))
+        return pa.table({"row": group["row"], "sequence_id": pa.array(bins + (key[0].as_py() << 32)), "offset": pa.array(offsets)})
 
-    dealt = pieces.select(*[f"`{c}`" for c in kept]).withColumn("__group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("long"))
-    return dealt.groupBy("__group").applyInArrow(place, schema)
+    own = held.df.select(held.row(), *[held[c].cast("long").alias(c) for c in ("doc_id", "piece", "length")])
+    dealt = own.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("long"))
+    schema = own.select("row").schema.add("sequence_id", "long").add("offset", "long")
+    return dealt.groupBy("part").applyInArrow(place, schema).select(*held.back(), "sequence_id", "offset")
 
 
 def groups_for(docs: DataFrame, group_docs: int = GROUP_DOCS) -> int:

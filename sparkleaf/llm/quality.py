@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WORD_SPACE, WordHashes, as_bytes, mixed, sliced
+from .common import U64, WORD_SPACE, Payload, WordHashes, as_bytes, mixed, row_type, sliced
 
 #: Largest share of word characters inside n-grams that occur twice or more, by n.
 MAX_NGRAM_SHARE = {5: 0.35, 6: 0.33, 7: 0.31, 8: 0.29, 9: 0.27, 10: 0.25}
@@ -84,13 +84,13 @@ def repetition(docs: DataFrame, text_col: str = "text", max_ngram_share: dict[in
     Words are runs of other characters than ASCII white space. base_failed: fewer than 10 words, or more than a fifth of the
     words inside 5-word windows found twice or more in the text. kept: not base_failed, and neither the character share
     of repeated n-grams of any length nor that of repeated lines is above its limit. Null texts count as empty, which
-    fail. Measure columns of the same names in docs are replaced; rows keep their number.
+    fail. Measure columns of the same names in docs (in any case) are replaced, others may have any name; rows keep their number.
     """
     lengths = tuple(sorted(max_ngram_share))
     names = [x.split()[0] for x in MEASURES.split(", ")]
-    kept_cols = [c for c in docs.columns if c not in (*names, "base_failed", "kept")]
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept_cols]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    schema = f"row {row.schema['row'].dataType.simpleString()}, {MEASURES}"
+    held = Payload(docs, (*names, "base_failed", "kept"))
+    row = held.df.select(held.row(), held[text_col].cast("string").alias("text"))
+    schema = f"{row_type(row)}, {MEASURES}"
     types = [pa.int64()] * 6 + [pa.list_(pa.int64())]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,4 +104,4 @@ def repetition(docs: DataFrame, text_col: str = "text", max_ngram_share: dict[in
     bad = F.col("dup_line_chars") > max_line_share * F.col("word_chars")
     for i, n in enumerate(lengths):
         bad = bad | (F.col("dup_ngram_chars")[i] > max_ngram_share[n] * F.col("word_chars"))
-    return out.select(*[F.col(f"row.`{c}`") for c in kept_cols], *names, base.alias("base_failed"), (~base & ~bad).alias("kept"))
+    return out.select(*held.back(), *names, base.alias("base_failed"), (~base & ~bad).alias("kept"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import TABLE_CHUNKS, ChunkTable
-from .common import SLICE_BYTES, sliced, tokenizer_file
+from .common import SLICE_BYTES, Payload, row_type, sliced, tokenizer_file
 
 MARK = "▁"
 _MARKED = re.compile(f"[ {MARK}]*[^ {MARK}\n]+|[ {MARK}]+|\n")
@@ -55,8 +55,9 @@ def table_of(path: str) -> ChunkTable:
 
 
 def _mapped(df: DataFrame, read_col: str, read_type: str, out_col: str, out_type: str, made) -> DataFrame:
-    row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != out_col]).alias("row"), F.col(f"`{read_col}`").cast(read_type).alias("value"))
-    return row.mapInArrow(made, f"row {row.schema['row'].dataType.simpleString()}, made {out_type}").select("row.*", F.col("made").alias(out_col))
+    held = Payload(df, (out_col,))
+    row = held.df.select(held.row(), held[read_col].cast(read_type).alias("value"))
+    return row.mapInArrow(made, f"{row_type(row)}, made {out_type}").select(*held.back(), F.col("made").alias(out_col))
 
 
 def encode(df: DataFrame, text_col: str = "text", model: str = "piece_bpe_32k.model", out_col: str = "ids", end: bool = True, slice_bytes: int = SLICE_BYTES) -> DataFrame:

@@ -16,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOR_DOCS, U64, WordHashes, as_bytes, blob_column, bounds, by_document, for_docs, mixed, partitions, settle, sliced
+from .common import DOCUMENT, FOR_DOCS, U64, Payload, WordHashes, as_bytes, blob_column, bounds, by_document, discard, for_docs, mixed, parts_for, row_type, settle, sliced
 
 PERIOD, COVER = 7, (1, 2, 4)
 #: Entries that a task gathers before it deals them out, and documents that these may come from (numbered in 16 bits).
 TASK_ENTRIES, TASK_DOCS = 2_000_000, 65_000
+#: Bytes of text whose anchors make a hash part, on average: about 2 million.
+PART_BYTES = 24 << 20
 _BASES = (0xD1B54A32D192ED03, 0xABC98388FB8FAC03)
 _LOW = U64((1 << 40) - 1)
 
@@ -75,10 +77,10 @@ class _Dealer:
         self.keys: list[np.ndarray] = []
         self.more: list[np.ndarray] = []
         self.sizes: list[int] = []
-        self.docs: list[int] = []
+        self.docs: list[tuple[int, int]] = []
         self.n = 0
 
-    def add(self, doc: int, keys: np.ndarray, more: np.ndarray) -> None:
+    def add(self, doc: tuple[int, int], keys: np.ndarray, more: np.ndarray) -> None:
         if len(keys):
             self.keys.append(keys)
             self.more.append(more)
@@ -99,17 +101,17 @@ class _Dealer:
         order = np.argsort(part, kind="stable")
         part = part[order]
         cuts = bounds(part)
-        ids = np.array(self.docs, "<i8").tobytes()
+        ids = np.array(self.docs, DOCUMENT)
         sent = [blob_column(_narrow(keys[order], self.key_bytes), cuts), blob_column(more[order], cuts) if more.dtype.itemsize else pa.nulls(len(cuts) - 1, pa.binary()), blob_column(doc[order], cuts)]
         used = [np.unique(doc[order][a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         if sum(map(len, used)) < 0.7 * len(self.docs) * len(used):  # few documents for each part: their ids alone
-            all_ids, numbers = np.array(self.docs, "<i8"), doc[order].copy()
+            numbers = doc[order].copy()
             for (a, b), u in zip(zip(cuts[:-1], cuts[1:], strict=True), used, strict=True):
                 numbers[a:b] = np.searchsorted(u, numbers[a:b])
             sent[2] = blob_column(numbers, cuts)
-            id_column = pa.array([all_ids[u].tobytes() for u in used], pa.binary())
+            id_column = pa.array([ids[u].tobytes() for u in used], pa.binary())
         else:
-            id_column = pa.array([ids] * len(used), pa.binary())
+            id_column = pa.array([ids.tobytes()] * len(used), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]].astype(np.int32)), *sent, id_column], ["part", "keys", "more", "doc", "ids"])
         self.__init__(self.parts, self.key_bytes)
 
@@ -125,7 +127,7 @@ def _gathered(batches: Iterator[pa.RecordBatch], key_bytes: int, more_dtype) ->
             wide = _wide(k, key_bytes)
             keys.append(wide)
             part.append(np.full(len(wide), p, np.int64))
-            docs.append(np.frombuffer(i, "<i8")[np.frombuffer(d, np.uint16)])
+            docs.append(np.frombuffer(i, DOCUMENT)[np.frombuffer(d, np.uint16)])
             if more_dtype is not None:
                 more.append(np.frombuffer(m, more_dtype))
     if not keys:
@@ -133,16 +135,15 @@ def _gathered(batches: Iterator[pa.RecordBatch], key_bytes: int, more_dtype) ->
     return np.concatenate(part), np.concatenate(keys), np.concatenate(docs), np.concatenate(more) if more else np.empty(0)
 
 
-def shared_anchors(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, found): blobs of 64-bit (part, low 40 bits) keys of the anchors that other documents have too."""
-    parts = partitions(docs.sparkSession)
+def shared_anchors(docs: DataFrame, words: int, parts: int) -> DataFrame:
+    """(doc_id, text_hash, found): blobs of 64-bit (part, low 40 bits) keys of the anchors that other documents have too."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes_of, dealer = WordHashes(), _Dealer(parts, 5)
         for batch in sliced(batches, "text"):
-            for doc, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text"))):
+            for *doc, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash")), as_bytes(batch.column("text"))):
                 keys = np.unique(_anchors(hashes_of(text.split()), words)[1])
-                dealer.add(doc, keys, np.empty(len(keys), "V0"))
+                dealer.add(tuple(doc), keys, np.empty(len(keys), "V0"))
                 if dealer.full():
                     yield from dealer.rows()
         yield from dealer.rows()
@@ -156,23 +157,22 @@ def shared_anchors(docs: DataFrame, words: int) -> DataFrame:
         order = np.argsort(keys, kind="stable")
         keys, docs = keys[order], docs[order]
         cuts = bounds(keys)
-        several = np.minimum.reduceat(docs, cuts[:-1]) != np.maximum.reduceat(docs, cuts[:-1])
+        several = np.minimum.reduceat(docs["id"], cuts[:-1]) != np.maximum.reduceat(docs["id"], cuts[:-1])
         at = np.repeat(several, np.diff(cuts))
         if at.any():
             yield for_docs(docs[at], keys[at], parts)
 
-    return by_document(docs.mapInArrow(deal, _DEALT).repartition(parts, "part").mapInArrow(find, FOR_DOCS), parts, U64)
+    return by_document(docs.mapInArrow(deal, _DEALT).repartitionById(parts, F.col("part")).mapInArrow(find, FOR_DOCS), parts, U64)
 
 
-def later_windows(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, found): blobs of 32-bit starts of windows of (doc_id, text, found) that a smaller document has too."""
-    parts = partitions(docs.sparkSession)
+def later_windows(docs: DataFrame, words: int, parts: int) -> DataFrame:
+    """(doc_id, text_hash, found): blobs of 32-bit starts of windows of (doc_id, text_hash, text, found) that a smaller document has too."""
     reach = PERIOD
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes_of, dealer = WordHashes(), _Dealer(parts, 8)
         for batch in sliced(batches, "text"):
-            for doc, text, found in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), batch.column("found").to_pylist()):
+            for *doc, found, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "found")), as_bytes(batch.column("text"))):
                 hashes = hashes_of(text.split())
                 at, keys = _anchors(hashes, words)
                 keys = (keys & _LOW) | (_part_of(keys, parts).astype(U64) << U64(40))
@@ -186,7 +186,7 @@ def later_windows(docs: DataFrame, words: int) -> DataFrame:
                     check = (_rolled(hashes, words, _BASES[1])[starts] >> U64(32)).astype("<u4")
                     more = np.empty(len(starts), [("check", "<u4"), ("start", "<u4")])
                     more["check"], more["start"] = check, starts
-                    dealer.add(doc, key, more)
+                    dealer.add(tuple(doc), key, more)
                     if dealer.full():
                         yield from dealer.rows()
         yield from dealer.rows()
@@ -201,11 +201,11 @@ def later_windows(docs: DataFrame, words: int) -> DataFrame:
         new = np.ones(len(keys), bool)
         new[1:] = (keys[1:] != keys[:-1]) | (more["check"][1:] != more["check"][:-1])
         cuts = np.append(np.flatnonzero(new), len(keys))
-        later = docs > np.repeat(np.minimum.reduceat(docs, cuts[:-1]), np.diff(cuts))
+        later = docs["id"] > np.repeat(np.minimum.reduceat(docs["id"], cuts[:-1]), np.diff(cuts))
         if later.any():
             yield for_docs(docs[later], more["start"][later], parts)
 
-    return by_document(docs.mapInArrow(deal, _DEALT).repartition(parts, "part").mapInArrow(find, FOR_DOCS), parts, "<u4")
+    return by_document(docs.mapInArrow(deal, _DEALT).repartitionById(parts, F.col("part")).mapInArrow(find, FOR_DOCS), parts, "<u4")
 
 
 def dedup_substrings(docs: DataFrame, words: int = 13) -> DataFrame:
@@ -214,24 +214,30 @@ def dedup_substrings(docs: DataFrame, words: int = 13) -> DataFrame:
     Words: runs of other characters than ASCII white space, unchanged. A window is `words` (at least 7) consecutive words of
     one document; each word covered by a window whose words also start in a document with a smaller doc_id is removed. Windows
     are judged on the input. Null texts have no words and give an empty text; texts shorter than a window keep all words.
-    Rows with a null doc_id keep all words and count for no other; rows of one doc_id count as one document, to whose rows
-    the starts found apply alike. Windows are compared by 96 bits of hash. Columns n_words and n_removed are replaced.
+    Rows with a null doc_id keep all words and count for no other. Rows of one doc_id don't count against each other; each is judged
+    by its own words. Windows are compared by 96 bits of hash. Columns n_words and n_removed (in any case) are replaced; other
+    columns may have any name.
     """
     if words < PERIOD:
         raise ValueError(f"a window has {PERIOD} words at least")
-    kept = [c for c in docs.columns if c not in ("n_words", "n_removed")]
-    docs = docs.select(*[F.col(f"`{c}`") for c in kept])
-    base = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    digests = settle(base.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest")), "digests")
-    first = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = settle(digests.join(first, "digest").where(F.col("doc_id") > F.col("first")).select("doc_id").distinct(), "copies")
-    anchors = settle(shared_anchors(base, words), "anchors")
-    windows = later_windows(base.join(copies, "doc_id", "left_anti").join(anchors, "doc_id"), words)
-    marks = windows.withColumn("whole", F.lit(False)).unionByName(copies.select("doc_id", F.lit(None).cast("binary").alias("found"), F.lit(True).alias("whole")))
-    marks = settle(marks, "windows").select(F.col("doc_id").alias("__doc"), F.col("found").alias("__found"), F.col("whole").alias("__whole"))
-    joined = docs.join(marks, F.col("doc_id").cast("long") == F.col("__doc"), "left")
-    row = joined.select(F.struct(*[F.col(f"`{c}`") for c in kept if c != "text"]).alias("row"), F.col("text").cast("string").alias("text"), F.col("__found").alias("found"), F.coalesce("__whole", F.lit(False)).alias("whole"))
-    schema = f"row {row.schema['row'].dataType.simpleString()}, text string, n_words long, n_removed long"
+    held = Payload(docs, ("n_words", "n_removed"))
+    text = held["text"].cast("string")
+    # a text is told from others of its doc_id by the first half of its digest
+    digest = F.md5(text.cast("binary"))
+    text_hash = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("text_hash")
+    rows = held.df.select(held.row("text"), text.alias("text"), held["doc_id"].cast("long").alias("doc_id"), digest.alias("digest"), text_hash)
+    base = rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text_hash", "text", "digest")
+    digests = settle(base.select("doc_id", "text_hash", "digest", F.octet_length("text").alias("n")), "digests")
+    parts = parts_for(docs.sparkSession, digests.agg(F.sum("n")).first()[0] or 0, PART_BYTES)
+    first = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    copies = settle(digests.join(first, "digest").where(F.col("doc_id") > F.col("first")).select("doc_id", "text_hash").distinct(), "copies")
+    key = ["doc_id", "text_hash"]
+    anchors = settle(shared_anchors(base, words, parts), "anchors")
+    windows = later_windows(base.join(copies, key, "left_anti").join(anchors, key), words, parts)
+    marks = settle(windows.withColumn("whole", F.lit(False)).unionByName(copies.withColumns({"found": F.lit(None).cast("binary"), "whole": F.lit(True)})), "windows")
+    discard(digests, copies, anchors)
+    row = rows.join(marks, key, "left").select("row", "text", "found", F.coalesce("whole", F.lit(False)).alias("whole"))
+    schema = f"{row_type(row)}, text string, n_words long, n_removed long"
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
@@ -249,5 +255,4 @@ def dedup_substrings(docs: DataFrame, words: int = 13) -> DataFrame:
                 texts.append(b" ".join(own))
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], ["row", "text", "n_words", "n_removed"])
 
-    out = row.mapInArrow(rewrite, schema)
-    return out.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in kept], "n_words", "n_removed")
+    return row.mapInArrow(rewrite, schema).select(*held.back(text=F.col("text")), "n_words", "n_removed")

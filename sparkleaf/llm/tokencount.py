@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import sentencepieces
 from .chunks import ChunkTable, unsafe
-from .common import sliced, tokenizer_file
+from .common import Payload, row_type, sliced, tokenizer_file
 
 #: Bytes of texts that are encoded at once.
 BATCH_BYTES = 8 << 20
@@ -88,16 +88,16 @@ def token_counts(df: DataFrame, text_col: str = "text", tokenizer: str = "byte_b
     begin, end or other special token is added, and special strings inside texts are handled as the library's default
     does. A null text counts as empty (0). Batches are cut by bytes, whole texts are split at places where no token
     can span, and each distinct split of a batch is encoded once; only lengths come back. An existing column out_col
-    is replaced. Rows keep their number and order; empty tables give none.
+    (in any case) is replaced, others may have any name. Rows keep their number and order; empty tables give none.
     """
-    row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in (out_col, text_col)], F.col(f"`{text_col}`").cast("string").alias(text_col)).alias("row"))
-    schema = f"row {row.schema['row'].dataType.simpleString()}, n long"
+    held = Payload(df, (out_col,))
+    row = held.df.select(held.row(text_col), held[text_col].cast("string").alias("text"))
+    schema = f"{row_type(row)}, text string, n long"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = counter(tokenizer_file(tokenizer))
         for batch in batches:
-            texts = pa.RecordBatch.from_arrays([batch.column("row").field(text_col)], ["text"])
-            n = [counts(x.column("text")) for x in sliced([texts], "text", batch_bytes)]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.concatenate(n) if n else np.empty(0, np.int64))], ["row", "n"])
+            n = [counts(x.column("text")) for x in sliced([batch], "text", batch_bytes)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), pa.array(np.concatenate(n) if n else np.empty(0, np.int64))], ["row", "text", "n"])
 
-    return row.mapInArrow(count, schema).select(*[F.col(f"row.`{c}`") for c in df.columns if c != out_col], F.col("n").alias(out_col))
+    return row.mapInArrow(count, schema).select(*held.back(**{text_col: F.col("text")}), F.col("n").alias(out_col))

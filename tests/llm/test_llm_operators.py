@@ -416,12 +416,150 @@ def test_find_and_mask(spark, tagger):
     assert pii.find(table(spark, EMPTY), tagger=tagger).count() == 0
 
 
-def test_windows_cover_the_neighbourhood_of_every_trigger():
+def test_left_out_windows_change_nothing(tagger):
+    """Mentions of up to 120 characters, anywhere in a text, are found as if every window were decoded."""
     rng = random.Random(2)
-    for _ in range(300):
-        t = "".join(rng.choice("abc  \n") if rng.random() < 0.97 else rng.choice("1@") for _ in range(rng.randint(0, 900)))
-        starts = pii.windows(t)
-        seen = set(itertools.chain.from_iterable(range(s, s + pii.WINDOW) for s in starts))
-        for i, c in enumerate(t):
-            if c in "1@":
-                assert set(range(max(0, i - pii.REACH), min(len(t), i + pii.REACH))) <= seen
+    part = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    texts = ["", "a", "1", "@", "x" * 128, "7 " * 300, "+" + "1 " * 200 + "@" * 90]
+    for size in range(8, 121, 4):
+        local = ".".join(part(7) for _ in range(max(1, size // 16)))[: max(1, size - 12)]
+        domain = ".".join(part(6) for _ in range(max(1, size // 14))) + ".com"
+        mention = local + rng.choice(["@", " @ ", "@ ", " @"]) + domain
+        number = rng.choice([" ", "  ", "-", "."]).join(part(0) + "".join(rng.choice("0123456789") for _ in range(4)) for _ in range(max(2, size // 5)))
+        texts.append(" ".join([prose(rng, rng.randint(0, 60), ["some", "words", "2024", "and", "x.y", "v1.2"]), mention, prose(rng, rng.randint(0, 40), ["more", "here", "7,5"]), number, "end"]))
+    texts += [pii.labelled(rng)[0] for _ in range(150)]
+    none = [[[] for _ in pii.KINDS] for _ in texts]
+    everywhere = pii.added_spans(tagger, texts, none, everywhere=True)
+    assert pii.added_spans(tagger, texts, none) == everywhere
+    long = [e - s for found in everywhere for s, e in found[0]]
+    assert max(long) > 64  # longer than the windows' own parts
+
+
+def test_grid_covers_every_character_once():
+    for n in range(1, 700):
+        starts, ends = pii.grid(n)
+        begins = [0, *ends[:-1].tolist()]
+        assert ends[-1] == n and all(a < b for a, b in zip(begins, ends))
+        for j in range(n):
+            depth = [min(j - s if s else 10**6, s + pii.WINDOW - 1 - j if s + pii.WINDOW < n else 10**6) for s in starts.tolist()]
+            own = next(k for k, e in enumerate(ends) if j < e)
+            assert depth[own] == max(depth), (n, j)
+
+
+def small_tagger(rng):
+    shape = lambda *s: 0.5 * rng.standard_normal(s)
+    h, e = pii.HIDDEN, pii.EMBED
+    return pii.Tagger(shape(pii.N_CLASSES, e), shape(2, e, 4 * h), shape(2, h, 4 * h), shape(2, 4 * h), shape(2 * h, pii.TAGS), shape(pii.TAGS), shape(pii.TAGS, pii.TAGS))
+
+
+def test_crf_against_all_paths():
+    rng = np.random.default_rng(4)
+    m = small_tagger(rng)
+    x = rng.integers(1, pii.N_CLASSES, (3, 4))
+    em, _ = pii._emissions(m, x)
+    trans = m.trans + pii._allowed()
+    y = np.array([[0, 1, 2, 2], [3, 4, 0, 0], [0, 0, 5, 6]])
+    score = lambda i, p: sum(em[i, t, p[t]] for t in range(4)) + sum(trans[p[t], p[t + 1]] for t in range(3))
+    paths = list(itertools.product(range(pii.TAGS), repeat=4))
+    total = 0.0
+    for i in range(3):
+        scores = np.array([score(i, p) for p in paths])
+        assert tuple(pii.viterbi(m, x)[i]) == paths[int(scores.argmax())]
+        total += np.log(np.exp(scores - scores.max()).sum()) + scores.max() - score(i, y[i])
+    assert abs(pii._step(m, x, y)[0] - total / 3) < 1e-6
+
+
+def test_gradients_of_the_tagger():
+    rng = np.random.default_rng(5)
+    m = small_tagger(rng)
+    x, y = rng.integers(1, pii.N_CLASSES, (2, 5)), np.array([[0, 1, 2, 0, 0], [3, 4, 4, 0, 7]])
+    _, grads = pii._step(m, x, y)
+    for p, g in zip(m.params(), grads):
+        for at in (tuple(rng.integers(0, s) for s in p.shape) for _ in range(6)):
+            if p is m.embed:
+                at = (x[0, 0], at[1])
+            old = p[at]
+            p[at] = old + 1e-5
+            up = pii._step(m, x, y)[0]
+            p[at] = old - 1e-5
+            down = pii._step(m, x, y)[0]
+            p[at] = old
+            assert abs((up - down) / 2e-5 - g[at]) < 1e-4
+
+
+# ---- odd tables
+
+
+def test_substring_dedup_of_a_repeated_doc_id(spark):
+    """Each row of a doc_id is judged by its own words; a copy of a smaller document goes, a text of its own stays."""
+    t, u, v = (" ".join(f"{c}{i}" for i in range(40)) for c in "tuv")
+    rows = [(5, t), (7, t), (7, u), (7, u), (9, u + " " + v), (None, t), (11, None), (11, t)]
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"], r["text"]) for r in substring.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(5, 40, 0, t), (7, 40, 40, ""), (7, 40, 0, u), (7, 40, 0, u), (9, 80, 40, v), (0, 40, 0, t), (11, 0, 0, ""), (11, 40, 40, "")])
+
+
+def test_near_duplicates_of_a_repeated_doc_id(spark):
+    t, u = (" ".join(f"{c}{i}" for i in range(40)) for c in "tu")
+    rows = [(1, t), (4, t), (4, u), (6, u), (6, u), (8, None), (8, t)]
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 36): 1, (4, 36): 1, (6, 36): 1, (8, 0): 1, (8, 36): 1} or got[8, 0] == 8
+
+
+def test_large_groups_are_confirmed_in_several_tiles(spark, monkeypatch):
+    for name, value in (("TILE_ROWS", 6), ("SIFT_ROWS", 5), ("CENTRES", 2)):
+        monkeypatch.setattr(minhash, name, value)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    docs = []
+    for _ in range(40):
+        words = list(base)
+        for _ in range(rng.randint(2, 9)):
+            words[rng.randrange(60)] = f"x{rng.randrange(10**9)}"
+        docs.append(" ".join(words))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(table(spark, docs), 2, 80).collect()}
+    assert got == {i: c for i, (_, c) in brute_components(list(enumerate(docs)), 2, 80).items()}
+
+
+def test_letters_beyond_the_second_plane(spark):
+    model = langid.Model(["a", "b"], np.zeros((langid.BUCKETS, 2), np.float32), np.array([1.0, 0.0]), 1.0)
+    rows = langid.predict(spark.createDataFrame([(1, "\U00030000\U00030001"), (2, "12 ."), (3, None), (3, None)], "doc_id long, text string"), model).collect()
+    assert sorted((r["doc_id"], r["lang_pred"]) for r in rows) == [(1, "a"), (2, "und"), (3, "und"), (3, "und")]
+    assert langid.predict(table(spark, EMPTY), model).count() == 0
+
+
+WORDS_40 = " ".join(f"q{i}" for i in range(40))
+#: Null ids and texts, repeated rows, and a long text, under columns whose names operators might use themselves.
+CLASHING = [(1, WORDS_40, 0), (1, WORDS_40, 1), (None, WORDS_40, 2), (3, None, 3), (4, "", 4), (5, "long " * 30_000, 5), (5, "long " * 30_000, 6)]
+NAMES = ["row", "keys", "found", "__doc", "__group", "part", "N_LINES", "N_Words", "Kept", "Lang_Pred", "a b`c.d", "text_hash", "whole", "value", "made"]
+
+
+@pytest.mark.parametrize("name", ["packing", "langid", "encode", "decode", "near", "quality", "lines", "counts", "substrings", "find", "mask"])
+def test_clashing_names_nulls_and_repeats(spark, tagger, name):
+    plain = spark.createDataFrame(CLASHING, "doc_id long, text string, id int")
+    df = plain.select("doc_id", "text", "id", *[F.col("id").alias(n) for n in NAMES])
+    model = langid.Model(["a"], np.zeros((langid.BUCKETS, 1), np.float32), np.zeros(1), 1.0)
+    made = {
+        "packing": lambda d: packing.pack(d.withColumns({"piece": F.lit(0), "length": F.when(F.col("id") != 3, F.col("id"))}), 16, groups=2),
+        "langid": lambda d: langid.predict(d, model),
+        "encode": sentencepieces.encode,
+        "decode": lambda d: sentencepieces.decode(d.withColumn("ids", F.array(F.lit(264), F.lit(2)))),
+        "near": minhash.near_duplicates,
+        "quality": quality.repetition,
+        "lines": linededup.dedup_lines,
+        "counts": tokencount.token_counts,
+        "substrings": substring.dedup_substrings,
+        "find": lambda d: pii.find(d, tagger=tagger),
+        "mask": lambda d: pii.mask(d, tagger=tagger),
+    }[name]
+    out, expect = made(df), made(plain)
+    shared = [c for c in expect.columns if c in out.columns]
+    assert len({c.lower() for c in out.columns}) == len(out.columns)
+    assert {"doc_id"} <= set(shared) and set(expect.columns) == set(shared)
+    rows = lambda d: sorted(map(repr, (tuple(r) for r in d.select(*shared).collect())))
+    if name == "packing":  # which of equal pieces comes first isn't stated
+        shared = [c for c in shared if c not in ("sequence_id", "offset")]
+    assert rows(out) == rows(expect)
+    if name != "near":
+        assert {r["a b`c.d"] for r in out.select(F.col("`a b``c.d`")).collect()} == set(range(7))
+        assert out.count() == len(CLASHING)
+    assert made(df.limit(0)).count() == 0
