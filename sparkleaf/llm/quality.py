@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 from .common import U64, WORD_SPACE, Payload, WordHashes, as_bytes, mixed, row_type, sliced
 
-#: Largest share of word characters inside n-grams that occur twice or more, by n.
-MAX_NGRAM_SHARE = {5: 0.35, 6: 0.33, 7: 0.31, 8: 0.29, 9: 0.27, 10: 0.25}
+#: Largest share of word characters inside n-grams that occur twice or more, by n. Short ones recur in any long text, so that
+#: only texts made of little else are above theirs; from 4 words on the limits lie close to what the base rule lets through.
+MAX_NGRAM_SHARE = {2: 0.80, 3: 0.50, 4: 0.26, 5: 0.21, 6: 0.21, 7: 0.21, 8: 0.21, 9: 0.21, 10: 0.20}
 #: Largest share of word characters in lines that repeat an earlier line, and of words in 5-word windows found twice.
-MAX_LINE_SHARE, MAX_WORD_SHARE, MIN_WORDS = 0.30, 0.20, 10
+MAX_LINE_SHARE, MAX_WORD_SHARE, MIN_WORDS = 0.20, 0.20, 10
 SYMBOLS = b"#*$%&|<>"
 _BASE = 0x9E3779B97F4A7C15
 

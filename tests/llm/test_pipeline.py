@@ -40,7 +40,7 @@ def test_stages_against_plain_versions(spark, folder):
     def good(t):
         n, chars, _, _, dup, repeat, _ = brute_quality(t or "")
         shares = [brute_quality(t or "", n)[6] > s * chars for n, s in queries.quality.MAX_NGRAM_SHARE.items()]
-        return not (n < 10 or 100 * repeat > 20 * n or dup > 0.3 * chars or any(shares))
+        return not (n < 10 or 100 * repeat > 20 * n or dup > queries.quality.MAX_LINE_SHARE * chars or any(shares))
 
     assert got == {i: t for i, t in texts.items() if good(t)}
     before = got
