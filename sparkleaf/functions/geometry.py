@@ -37,17 +37,15 @@ def inside(a, b) -> Column:
     return (b["x0"] >= a["x0"]) & (b["y0"] >= a["y0"]) & (b["x1"] <= a["x1"]) & (b["y1"] <= a["y1"])
 
 
-def covers(a, b, threshold: float = 1.0, vertical: Column | None = None) -> Column:
-    """a holds a share of `threshold` of b's area, rounded to two digits, and is at least as long along b's text direction.
+def covers(a, b, threshold: float = 1.0) -> Column:
+    """a holds a share of `threshold` of b's area, rounded to two digits, and along a's own longer side is as long as b, but for a point.
 
     A box without area is covered by none.
     """
     a, b = _c(a), _c(b)
     share = F.round(overlap(a, b) / F.nullif(area(b), F.lit(0)), 2) >= threshold
-    length = F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"]) + 1 >= b["x1"] - b["x0"]
-    if vertical is not None:
-        upright = F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"]) + 1 >= b["y1"] - b["y0"]
-        length = F.when(vertical, upright).otherwise(length)
+    width, height = a["x1"] - a["x0"], a["y1"] - a["y0"]
+    length = F.when(width >= height, width + 1 >= b["x1"] - b["x0"]).otherwise(height + 1 >= b["y1"] - b["y0"])
     return F.coalesce(share & length, F.lit(False))
 
 
@@ -57,11 +55,11 @@ def union(a, b) -> Column:
 
 
 def main_box(a, b, threshold: float) -> Column:
-    """The union box if the overlap is a share of `threshold` of the smaller area; touching without area counts as 1e-6."""
+    """The union box if the overlap is a share of `threshold` of the smaller area; boxes that meet without area share 1e-6."""
     a, b = _c(a), _c(b)
     touch = (F.least(a["x1"], b["x1"]) >= F.greatest(a["x0"], b["x0"])) & (F.least(a["y1"], b["y1"]) >= F.greatest(a["y0"], b["y0"]))
-    shared = F.when(touch & (overlap(a, b) == 0), F.lit(1e-6)).otherwise(overlap(a, b))
-    return F.when(shared / F.greatest(F.least(area(a), area(b)), F.lit(1e-6)) >= threshold, union(a, b))
+    share = F.when(overlap(a, b) > 0, overlap(a, b) / F.least(area(a), area(b))).otherwise(F.lit(1e-6))
+    return F.when(touch & (share >= threshold), union(a, b))
 
 
 def _aligned(a: Column, b: Column, low: str, high: str, factor: float) -> Column:
@@ -93,9 +91,9 @@ def same_place(a, b, share: float = 0.7) -> Column:
 
 
 def iou_class(a, b, share: float = 0.6) -> Column:
-    """none, match, or small (they meet, below the share)."""
+    """none, match (above the share), or small (they meet)."""
     both = overlap(a, b)
-    return F.when(both <= 0, F.lit("none")).when(both / (area(a) + area(b) - both) >= share, F.lit("match")).otherwise(F.lit("small"))
+    return F.when(both <= 0, F.lit("none")).when(both / (area(a) + area(b) - both) > share, F.lit("match")).otherwise(F.lit("small"))
 
 
 def centred(b, left, right, share: float = 0.9, shift: float = 30.0) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, text
 
+# Label types.
 LABELS = ["Text", "Title", "List", "Catalog", "Table", "Figure", "Formula", "Code", "FigureName", "FigureNote", "TableName", "TableNote"]
 
 
@@ -51,7 +52,8 @@ def mapping(labels: DataFrame, parsed: DataFrame, threshold: float = 0.8) -> Dat
     lie within it are listed too. Each match changes what is left, so a document is one group.
     """
     def of_document(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        rows = _match(a, b, threshold)
+        side = lambda x: x if len(x) else pd.DataFrame(columns=["doc_id", "ordinal", "order_num", "page_num", "clean"])
+        rows = _match(side(a), side(b), threshold)  # a side without rows comes without columns
         return pd.DataFrame([(key[0], *r) for r in rows], columns=["doc_id", "label", "parsed", "score", "no"])
 
     # new aliases: where both sides come from one table, Spark would otherwise prune columns that the function reads

@@ -81,14 +81,18 @@ def joined_words(lines: DataFrame, hyphens: bool = False) -> DataFrame:
 
 
 def titles(blocks: DataFrame) -> DataFrame:
-    """All columns and is_title: a catalog entry, or a centred block before one that isn't text, isn't centred or differs in font.
+    """All columns and is_title, of text blocks that aren't the last of their page.
 
-    Needs type, centred, in_catalog, font, size, bold; the last block of a page is one only as a catalog entry.
+    A title is a catalog entry, or a centred block before one that isn't text, isn't centred, has another size or font (where both are
+    known and not 0 or empty), or isn't bold where the block is. Needs type, centred, in_catalog, font, size, bold.
     """
     w = Window.partitionBy("doc_id", "page").orderBy("ordinal")
     nxt = lambda c: F.lead(c).over(w)
-    differs = (nxt("type") != "text") | ~nxt("centred") | (nxt("font") != F.col("font")) | (nxt("size") != F.col("size")) | (nxt("bold") != F.col("bold"))
-    return blocks.withColumn("is_title", F.col("in_catalog") | (F.col("centred") & F.coalesce(nxt("ordinal").isNotNull() & differs, F.lit(False))))
+    other = lambda c, none: (F.col(c) != none) & (nxt(c) != none) & (F.col(c) != nxt(c))
+    known = [F.coalesce(x, F.lit(False)) for x in (~nxt("centred"), other("size", F.lit(0)), other("font", F.lit("")), F.col("bold") & ~F.coalesce(nxt("bold"), F.lit(False)))]
+    follows = (nxt("type") != "text") | known[0] | known[1] | known[2] | known[3]
+    text_before = (F.col("type") == "text") & nxt("ordinal").isNotNull()
+    return blocks.withColumn("is_title", F.coalesce(text_before & (F.coalesce("in_catalog", F.lit(False)) | (F.col("centred") & follows)), F.lit(False)))
 
 
 def spacing(blocks: DataFrame) -> DataFrame:

@@ -15,8 +15,7 @@ PAGE = ["doc_id", "page"]
 
 def reading_order(rows: DataFrame, keys: list[str] = PAGE, vertical: bool = False) -> DataFrame:
     """All columns and read_no from 1: by (y0, x0, x1), or (x0, y1, y0) for vertical text; ties by ordinal."""
-    names = ("x0", "y1", "y0") if vertical else ("y0", "x0", "x1")
-    sign = [F.col("box.x0"), F.desc("box.y1"), F.col("box.y0")] if vertical else [F.col(f"box.{n}") for n in names]
+    sign = [F.col(f"box.{n}") for n in (("x0", "y1", "y0") if vertical else ("y0", "x0", "x1"))]
     return rows.withColumn("read_no", F.row_number().over(Window.partitionBy(*keys).orderBy(*sign, "ordinal")))
 
 
@@ -36,11 +35,17 @@ def union_boxes(rows: DataFrame, keys: list[str] = PAGE) -> DataFrame:
     return live.groupBy(*keys).agg(F.min("box.x0").alias("x0"), F.min("box.y0").alias("y0"), F.max("box.x1").alias("x1"), F.max("box.y1").alias("y1"))
 
 
-def margins(rows: DataFrame, width: float, height: float, cap: float = 72.0) -> DataFrame:
-    """(doc_id, page, left, right, top, bottom): distances of the content from the page's edges, halved above and below, at most cap."""
-    at = lambda e: F.least(F.greatest(e, F.lit(0.0)), F.lit(cap))
-    b = union_boxes(rows)
-    return b.select(*PAGE, at(F.col("x0")).alias("left"), at(width - F.col("x1")).alias("right"), at(F.col("y0") * 0.5).alias("top"), at((height - F.col("y1")) * 0.5).alias("bottom"))
+def margins(rows: DataFrame, width: float, height: float, cap: float = 72.0, pages: DataFrame | None = None) -> DataFrame:
+    """(doc_id, page, left, right, top, bottom): distances of the content from the page's edges, rounded to 0.1, at most cap.
+
+    The right one is a point less; those above and below are halved. A page of `pages` (doc_id, page) without content has cap on
+    all sides.
+    """
+    at = lambda e: F.least(F.round(F.greatest(e, F.lit(0.0)), 1), F.lit(cap))
+    out = union_boxes(rows).select(*PAGE, at(F.col("x0")).alias("left"), at(width - F.col("x1") - 1.0).alias("right"), at(F.col("y0") * 0.5).alias("top"), at((height - F.col("y1")) * 0.5).alias("bottom"))
+    if pages is None:
+        return out
+    return pages.select(*PAGE).distinct().join(out, PAGE, "left").select(*PAGE, *[F.coalesce(c, F.lit(cap)).alias(c) for c in ("left", "right", "top", "bottom")])
 
 
 def row_gaps(rows: DataFrame, keys: list[str] = PAGE) -> DataFrame:

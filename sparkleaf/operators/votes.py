@@ -52,8 +52,8 @@ def mark_holders(blocks: DataFrame, share: float = 0.5) -> DataFrame:
 
 
 def layout_blocks(blocks: DataFrame) -> DataFrame:
-    """The blocks that aren't blank and neither header nor footer, numbered anew within the document."""
-    live = mark_holders(blocks.where(F.trim("text") != "")).where(~F.col("is_header") & ~F.col("is_footer"))
+    """The images and the blocks with more than white space that are neither header nor footer, numbered anew within the document."""
+    live = mark_holders(blocks.where((F.col("type") == "image") | F.col("text").rlike(r"(?U)\S"))).where(~F.col("is_header") & ~F.col("is_footer"))
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "ordinal"))
     return live.select("doc_id", F.col("page").alias("page_num"), number.cast("int").alias("block_no"), "type", "text")
 
@@ -111,11 +111,15 @@ def font_size_bold(spans: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def common_line_gap(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, gap): the most frequent gap, rounded up, between neighbouring lines that aren't in one row; first wins."""
+    """(keys, gap): the most frequent gap, not below 0 and rounded up, between neighbouring lines that aren't in one row.
+
+    The first of equally frequent ones wins; without such lines it is 0.
+    """
     w = Window.partitionBy(*keys).orderBy("ordinal")
     rows = lines.withColumn("__before", F.lag("box").over(w)).where(F.col("__before").isNotNull() & ~geometry.in_row("__before", "box"))
-    gaps = rows.withColumn("gap", F.ceil(F.col("box.y0") - F.col("__before.y1")))
-    return most_common(gaps, keys, "gap", F.col("ordinal"), "gap").select(*keys, "gap")
+    gaps = rows.withColumn("gap", F.ceil(F.greatest(F.col("box.y0") - F.col("__before.y1"), F.lit(0.0))))
+    found = most_common(gaps, keys, "gap", F.col("ordinal"), "gap").select(*keys, "gap")
+    return lines.select(*keys).distinct().join(found, keys, "left").select(*keys, F.coalesce("gap", F.lit(0)).cast("long").alias("gap"))
 
 
 def cover_pages(blocks: DataFrame, page_area: float, max_chars: int = 200, blank: float = 0.5, least_pages: int = 3) -> DataFrame:

@@ -122,20 +122,24 @@ def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TAGGED = """CASE line_no % 8 WHEN 0 THEN '1. ' WHEN 1 THEN '2.3 ' WHEN 2 THEN '（一）' WHEN 3 THEN '①' WHEN 4 THEN '第三章 ' WHEN 5 THEN '★' WHEN 6 THEN 'b) ' ELSE 'x' END"""
 
 
-@_query(f"""
-WITH {derive.LINES_SQL}
-SELECT doc_id, line_no, CASE line_no % 8 WHEN 0 THEN '11' WHEN 1 THEN '10' WHEN 2 THEN '18' WHEN 3 THEN '21' WHEN 4 THEN '26' WHEN 5 THEN '★' WHEN 6 THEN '19' END AS list_type,
-  CASE WHEN line_no % 8 < 7 THEN {_TAGGED} END AS list_tag
-FROM lines WHERE regexp_matches(text, '^[A-Za-z]') AND NOT regexp_matches(text, '[0-9]\\s*$')
-""")
-def list_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """List types and tags of lines with set prefixes."""
-    return _tags(derive.lines(spark, sf_dir).where(F.col("text").rlike("^[A-Za-z]") & ~F.col("text").rlike(r"[0-9]\s*$")))
+def _listed(column: str) -> tuple[str, str]:
+    """DuckDB expressions of a text's list type and tag: RE2 has no references, so runs are tried for each of a line's characters."""
+    quote = lambda p: p.replace("'", "''")
+    run = f"(regexp_matches({column}, '[0-9]\\s*$') AND len(list_filter(list_distinct(string_split({column}, '')), lambda c: regexp_matches({column}, regexp_escape(c) || '{{10,}}\\s*[0-9]+\\s*$'))) > 0)"
+    plain = text.LIST_PATTERNS[:-1]
+    special = quote(text.SPECIAL_START).replace("\\w", r"\p{L}\p{N}_")
+    kinds = " ".join(f"WHEN regexp_matches({column}, '{quote(p)}') THEN '{i}'" for i, p in enumerate(plain, 1))
+    tags = " ".join(f"WHEN regexp_matches({column}, '{quote(p)}') THEN regexp_extract({column}, '{quote(p)}')" for p in plain)
+    rest = f"nullif(regexp_extract({column}, '{special}'), '')"
+    return f"CASE {kinds} WHEN {run} THEN '{len(plain) + 1}' ELSE {rest} END", f"CASE {tags} WHEN {run} THEN {column} ELSE {rest} END"
 
 
-@_query()
-def list_tags_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """List types and tags of all lines with set prefixes."""
+_LIST_TYPE, _LIST_TAG = _listed("t")
+
+
+@_query(f"WITH {derive.LINES_SQL} SELECT doc_id, line_no, {_LIST_TYPE} AS list_type, {_LIST_TAG} AS list_tag FROM (SELECT doc_id, line_no, {_TAGGED} || text AS t FROM lines)")
+def list_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """List types and tags of all lines, with set prefixes."""
     return _tags(derive.lines(spark, sf_dir))
 
 
@@ -258,18 +262,19 @@ def font_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return votes.font_size_bold(spans, ["doc_id", "page"])
 
 
-_GAP_LINES = "(72 + 14 * ordinal + CASE WHEN length(text) % 3 = 0 THEN 5 ELSE 0 END)::DOUBLE"
+_GAP_LINES = "(72 + 14 * ordinal + CASE length(text) % 3 WHEN 0 THEN 5 WHEN 1 THEN -9 ELSE 0 END)::DOUBLE"
 
 
 @_query(f"""
 WITH {derive.LINES_SQL}, b AS (SELECT *, {_GAP_LINES} AS y0, {_GAP_LINES} + 8 AS y1 FROM lines),
 g AS (SELECT *, lag(y0) OVER w AS p0, lag(y1) OVER w AS p1 FROM b WINDOW w AS (PARTITION BY doc_id, page ORDER BY ordinal)),
-k AS (SELECT doc_id, page, ordinal, ceil(y0 - p1)::BIGINT AS gap FROM g WHERE p0 IS NOT NULL AND NOT ((y0 + y1) / 2 < p1 AND (p0 + p1) / 2 < y1))
-SELECT doc_id, page, gap FROM (SELECT doc_id, page, gap, row_number() OVER (PARTITION BY doc_id, page ORDER BY count(*) DESC, min(ordinal)) AS r FROM k GROUP BY 1, 2, 3) WHERE r = 1
+k AS (SELECT doc_id, page, ordinal, ceil(greatest(y0 - p1, 0))::BIGINT AS gap FROM g WHERE p0 IS NOT NULL AND NOT ((y0 + y1) / 2 < p1 AND (p0 + p1) / 2 < y1)),
+v AS (SELECT doc_id, page, gap FROM (SELECT doc_id, page, gap, row_number() OVER (PARTITION BY doc_id, page ORDER BY count(*) DESC, min(ordinal)) AS r FROM k GROUP BY 1, 2, 3) WHERE r = 1)
+SELECT doc_id, page, coalesce(gap, 0)::BIGINT AS gap FROM (SELECT DISTINCT doc_id, page FROM lines) LEFT JOIN v USING (doc_id, page)
 """)
 def line_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The common line gap of each page."""
-    y = (72 + 14 * F.col("ordinal") + F.when(F.length("text") % 3 == 0, 5).otherwise(0)).cast("double")
+    y = (72 + 14 * F.col("ordinal") + F.when(F.length("text") % 3 == 0, 5).when(F.length("text") % 3 == 1, -9).otherwise(0)).cast("double")
     rows = derive.lines(spark, sf_dir).select("doc_id", "page", "ordinal", geometry.box(F.lit(72.0), y, F.lit(300.0), y + 8).alias("box"))
     return votes.common_line_gap(rows, ["doc_id", "page"])
 
@@ -332,7 +337,7 @@ def catalog_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {derive.BOXES_SQL}, p AS (SELECT *, lead(x0) OVER w AS a, lead(y0) OVER w AS b, lead(x1) OVER w AS c, lead(y1) OVER w AS d FROM boxes WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
 q AS (SELECT *, greatest(0, least(x1, c) - greatest(x0, a)) * greatest(0, least(y1, d) - greatest(y0, b)) AS i, (x1 - x0) * (y1 - y0) AS s, (c - a) * (d - b) AS t FROM p WHERE a IS NOT NULL)
 SELECT doc_id, line_no, i::DOUBLE AS shared, (a >= x0 AND b >= y0 AND c <= x1 AND d <= y1) AS holds, (x1 - x0) + (c - a) - (greatest(x1, c) - least(x0, a)) + 0.001 >= 0.5 * least(x1 - x0, c - a) AS in_column,
-  (y0 + y1) / 2 < d AND (b + d) / 2 < y1 AS in_row, i > 0.7 * (s + t - i) AS same_place, CASE WHEN i <= 0 THEN 'none' WHEN i / (s + t - i) >= 0.6 THEN 'match' ELSE 'small' END AS kind FROM q
+  (y0 + y1) / 2 < d AND (b + d) / 2 < y1 AS in_row, i > 0.7 * (s + t - i) AS same_place, CASE WHEN i <= 0 THEN 'none' WHEN i / (s + t - i) > 0.6 THEN 'match' ELSE 'small' END AS kind FROM q
 """)
 def box_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures of neighbouring lines' boxes."""
@@ -342,7 +347,7 @@ def box_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"""
 WITH {derive.BOXES_SQL}
-SELECT doc_id, page, ordinal, row_number() OVER (PARTITION BY doc_id, page ORDER BY y0, x0, x1, ordinal)::INTEGER AS read_no, row_number() OVER (PARTITION BY doc_id, page ORDER BY x0, y1 DESC, y0, ordinal)::INTEGER AS vertical_no FROM boxes
+SELECT doc_id, page, ordinal, row_number() OVER (PARTITION BY doc_id, page ORDER BY y0, x0, x1, ordinal)::INTEGER AS read_no, row_number() OVER (PARTITION BY doc_id, page ORDER BY x0, y1, y0, ordinal)::INTEGER AS vertical_no FROM boxes
 """)
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reading order of boxes, for horizontal and vertical text."""
@@ -361,12 +366,16 @@ def rows_and_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(f"""
-WITH {derive.BOXES_SQL}, u AS (SELECT doc_id, page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM boxes WHERE x1 > x0 AND y1 > y0 GROUP BY 1, 2)
-SELECT doc_id, page, least(greatest(x0, 0), 72.0) AS "left", least(greatest(600 - x1, 0), 72.0) AS "right", least(greatest(y0 * 0.5, 0), 72.0) AS top, least(greatest((800 - y1) * 0.5, 0), 72.0) AS bottom FROM u
+WITH {derive.BOXES_SQL}, u AS (SELECT doc_id, page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM boxes WHERE x1 > x0 AND y1 > y0 GROUP BY 1, 2),
+p AS (SELECT DISTINCT doc_id, page FROM boxes UNION ALL SELECT DISTINCT doc_id, -1 FROM boxes)
+SELECT doc_id, page, CASE WHEN x0 IS NULL THEN 72.0 ELSE least(round(greatest(x0, 0), 1), 72.0) END::DOUBLE AS "left", CASE WHEN x0 IS NULL THEN 72.0 ELSE least(round(greatest(520.25 - x1 - 1, 0), 1), 72.0) END::DOUBLE AS "right",
+  CASE WHEN x0 IS NULL THEN 72.0 ELSE least(round(greatest(y0, 0) * 0.5, 1), 72.0) END::DOUBLE AS top, CASE WHEN x0 IS NULL THEN 72.0 ELSE least(round(greatest(180.5 - y1, 0) * 0.5, 1), 72.0) END::DOUBLE AS bottom FROM p LEFT JOIN u USING (doc_id, page)
 """)
 def page_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Margins from the union of boxes."""
-    return spatial.margins(derive.with_box(derive.boxes(spark, sf_dir)), 600.0, 800.0)
+    """Margins from the union of boxes; page -1 of each document is empty."""
+    rows = derive.with_box(derive.boxes(spark, sf_dir))
+    pages = rows.select("doc_id", "page").union(rows.select("doc_id", F.lit(-1)))
+    return spatial.margins(rows, 520.25, 180.5, pages=pages)
 
 
 @_query(f"""
@@ -380,8 +389,8 @@ def zone_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(f"""
-WITH {derive.BOXES_SQL}, t AS (SELECT doc_id, page, o, 70.0 AS x0, 70.0 + 14 * o AS y0, 300.0 + 50 * o AS x1, 100.0 + 14 * o AS y1 FROM (SELECT DISTINCT doc_id, page FROM boxes), (SELECT unnest([0, 1]) AS o)),
-h AS (SELECT b.doc_id, b.page, b.ordinal, min(t.o) AS container FROM boxes b JOIN t USING (doc_id, page) WHERE {_AREA.format(a="b")} > 0 AND round(({_INTER.format(a="b", b="t")}) / {_AREA.format(a="b")}, 2) >= 0.75 AND least(b.x1, t.x1) - greatest(b.x0, t.x0) + 1 >= b.x1 - b.x0 GROUP BY 1, 2, 3)
+WITH {derive.BOXES_SQL}, t AS (SELECT doc_id, page, o, 70.0 AS x0, 70.0 + 14 * o AS y0, 300.0 + 50 * o AS x1, 100.0 + 14 * o AS y1 FROM (SELECT DISTINCT doc_id, page FROM boxes), (SELECT unnest([0, 1]) AS o) UNION ALL SELECT DISTINCT doc_id, page, 2, 60.0, 60.0, 110.0, 160.0 FROM boxes),
+h AS (SELECT b.doc_id, b.page, b.ordinal, min(t.o) AS container FROM boxes b JOIN t USING (doc_id, page) WHERE {_AREA.format(a="b")} > 0 AND round(({_INTER.format(a="b", b="t")}) / {_AREA.format(a="b")}, 2) >= 0.75 AND CASE WHEN t.x1 - t.x0 >= t.y1 - t.y0 THEN t.x1 - t.x0 + 1 >= b.x1 - b.x0 ELSE t.y1 - t.y0 + 1 >= b.y1 - b.y0 END GROUP BY 1, 2, 3)
 SELECT boxes.doc_id, boxes.page, boxes.ordinal, coalesce(container, -1)::INTEGER AS container FROM boxes LEFT JOIN h USING (doc_id, page, ordinal)
 """)
 def table_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -389,6 +398,8 @@ def table_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = derive.with_box(derive.boxes(spark, sf_dir))
     o = F.col("ordinal")
     zones = rows.select("doc_id", "page").distinct().withColumn("ordinal", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("box", geometry.box(F.lit(70.0), 70.0 + 14 * o, 300.0 + 50 * o, 100.0 + 14 * o))
+    tall = zones.select("doc_id", "page").distinct().select("*", F.lit(2).alias("ordinal"), geometry.box(F.lit(60.0), F.lit(60.0), F.lit(110.0), F.lit(160.0)).alias("box"))
+    zones = zones.unionByName(tall)
     return spatial.assign(rows, zones).select("doc_id", "page", "ordinal", F.coalesce("container", F.lit(-1)).alias("container"))
 
 
@@ -467,16 +478,10 @@ def continuation_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(f"""
-WITH {derive.BOXES_SQL}, w AS (SELECT *, lag(ordinal) OVER w AS po, lag(x0) OVER w AS px0, lag(x1) OVER w AS px1, max(x1) OVER (PARTITION BY doc_id, page) AS r, length(text) % 6 = 0 AS bold, lag(length(text) % 6 = 0) OVER w AS pb FROM boxes WHERE regexp_matches(text, '^[A-Za-z]') AND NOT regexp_matches(text, '[0-9]\\s*$') WINDOW w AS (PARTITION BY doc_id, page ORDER BY ordinal))
-SELECT doc_id, page, ordinal, sum(CASE WHEN po IS NULL OR x0 - px0 > 9 OR bold <> pb OR px1 < r - 12 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY ordinal ROWS UNBOUNDED PRECEDING)::BIGINT AS paragraph FROM w
+WITH {derive.BOXES_SQL}, w AS (SELECT *, {_listed("text")[0]} IS NOT NULL AS tagged, lag(ordinal) OVER w AS po, lag(x0) OVER w AS px0, lag(x1) OVER w AS px1, max(x1) OVER (PARTITION BY doc_id, page) AS r, length(text) % 6 = 0 AS bold, lag(length(text) % 6 = 0) OVER w AS pb FROM boxes WINDOW w AS (PARTITION BY doc_id, page ORDER BY ordinal))
+SELECT doc_id, page, ordinal, sum(CASE WHEN po IS NULL OR tagged OR x0 - px0 > 9 OR bold <> pb OR px1 < r - 12 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY ordinal ROWS UNBOUNDED PRECEDING)::BIGINT AS paragraph FROM w
 """)
 def paragraph_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraphs by indent, boldness and short lines."""
-    return _paragraphs(derive.boxes(spark, sf_dir).where(F.col("text").rlike("^[A-Za-z]") & ~F.col("text").rlike(r"[0-9]\s*$")))
-
-
-@_query()
-def paragraph_split_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs of all lines by list tag, indent, boldness and short lines."""
     return _paragraphs(derive.boxes(spark, sf_dir))
 
@@ -487,14 +492,15 @@ def _paragraphs(boxes: DataFrame) -> DataFrame:
 
 
 @_query(f"""
-WITH {derive.LINES_SQL}, b AS (SELECT doc_id, page, ordinal, length(text) % 2 = 0 AS centred, CASE WHEN length(text) % 5 = 0 THEN 'image' ELSE 'text' END AS type, (length(text) % 3)::DOUBLE AS size, length(text) % 11 = 0 AS in_catalog FROM lines),
-n AS (SELECT *, lead(ordinal) OVER w AS no, lead(type) OVER w AS nt, lead(centred) OVER w AS nc, lead(size) OVER w AS ns FROM b WINDOW w AS (PARTITION BY doc_id, page ORDER BY ordinal))
-SELECT doc_id, page, ordinal, in_catalog OR (centred AND coalesce(no IS NOT NULL AND (nt <> 'text' OR NOT nc OR ns <> size), FALSE)) AS is_title FROM n
+WITH {derive.LINES_SQL}, b AS (SELECT doc_id, page, ordinal, length(text) % 2 = 0 AS centred, CASE WHEN length(text) % 5 = 0 THEN 'image' ELSE 'text' END AS type, (length(text) % 3)::DOUBLE AS size, length(text) % 11 = 0 AS in_catalog, length(text) % 7 < 3 AS bold, CASE length(text) % 4 WHEN 0 THEN '' WHEN 1 THEN 'a' ELSE 'b' END AS font FROM lines),
+n AS (SELECT *, lead(ordinal) OVER w AS no, lead(type) OVER w AS nt, lead(centred) OVER w AS nc, lead(size) OVER w AS ns, lead(bold) OVER w AS nb, lead(font) OVER w AS nf FROM b WINDOW w AS (PARTITION BY doc_id, page ORDER BY ordinal))
+SELECT doc_id, page, ordinal, CASE WHEN no IS NULL OR type <> 'text' THEN FALSE WHEN in_catalog THEN TRUE WHEN nt <> 'text' OR NOT nc THEN centred
+  ELSE centred AND ((ns <> 0 AND size <> 0 AND size <> ns) OR (bold AND NOT nb) OR (font <> '' AND nf <> '' AND font <> nf)) END AS is_title FROM n
 """)
 def title_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles by centring and change of font."""
     n = F.length("text")
-    rows = derive.lines(spark, sf_dir).select("doc_id", "page", "ordinal", (n % 2 == 0).alias("centred"), F.when(n % 5 == 0, "image").otherwise("text").alias("type"), F.lit("a").alias("font"), (n % 3).cast("double").alias("size"), F.lit(False).alias("bold"), (n % 11 == 0).alias("in_catalog"))
+    rows = derive.lines(spark, sf_dir).select("doc_id", "page", "ordinal", (n % 2 == 0).alias("centred"), F.when(n % 5 == 0, "image").otherwise("text").alias("type"), F.when(n % 4 == 0, "").when(n % 4 == 1, "a").otherwise("b").alias("font"), (n % 3).cast("double").alias("size"), (n % 7 < 3).alias("bold"), (n % 11 == 0).alias("in_catalog"))
     return relations.titles(rows).select("doc_id", "page", "ordinal", "is_title")
 
 
@@ -654,8 +660,8 @@ def tree_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- evaluation
 
 
-_NODES = """labels_ AS (SELECT doc_id, ordinal, 'L' || ordinal AS order_num, -1 AS page_num, layout_type, substr(text, 1, 40) AS text FROM turns),
-parsed_ AS (SELECT doc_id, ordinal, 'P' || ordinal AS order_num, -1 AS page_num, CASE WHEN ordinal % 5 = 0 THEN 'Text' ELSE layout_type END AS layout_type, substr(text, 1, 40) AS text FROM turns WHERE ordinal % 7 <> 3),
+_NODES = """labels_ AS (SELECT doc_id, ordinal, 'L' || ordinal AS order_num, -1 AS page_num, layout_type, text FROM turns),
+parsed_ AS (SELECT doc_id, ordinal, 'P' || ordinal AS order_num, -1 AS page_num, CASE WHEN ordinal % 5 = 0 THEN 'Text' ELSE layout_type END AS layout_type, text FROM turns WHERE ordinal % 7 <> 3),
 mapped AS (SELECT l.doc_id, l.order_num AS label, p.order_num AS parsed, p.ordinal AS no FROM labels_ l LEFT JOIN parsed_ p ON p.doc_id = l.doc_id AND (p.ordinal = l.ordinal OR (l.ordinal % 4 = 1 AND p.ordinal = l.ordinal + 1)))"""
 
 
@@ -712,16 +718,6 @@ def reverse_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.reverse_unique(_nodes(spark, sf_dir)[2])
 
 
-@_query(f"""
-WITH t AS (SELECT doc_id AS f, text FROM documents WHERE text IS NOT NULL AND doc_id % 10 = 0), ph AS (SELECT f, split_part(text, ' ', 1) AS p FROM t UNION ALL SELECT f, 'zzqq' FROM t WHERE f % 20 = 0),
-h AS (SELECT f, p, contains(regexp_replace(text, '[^\\p{{L}}\\p{{N}}_]', '', 'g'), regexp_replace(p, '[^\\p{{L}}\\p{{N}}_]', '', 'g')) AS hit FROM ph JOIN t USING (f))
-SELECT coalesce(f, -1) AS file, count_if(hit)::BIGINT AS found, count(*) AS phrases, count_if(hit) / count(*) AS recall FROM h GROUP BY ROLLUP (f)
-""")
-def phrase_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Phrases found in recognised texts, by file and over all."""
-    return _recall(derive.table(spark, sf_dir, "documents").where("text IS NOT NULL AND doc_id % 10 = 0"))
-
-
 def _recall(docs: DataFrame) -> DataFrame:
     t = docs.select(F.col("doc_id").alias("file"), "text")
     phrases = t.select("file", F.element_at(F.split("text", " "), 1).alias("phrase")).unionByName(t.where("file % 20 = 0").select("file", F.lit("zzqq").alias("phrase")))
@@ -733,7 +729,7 @@ WITH t AS (SELECT doc_id AS f, text FROM documents WHERE text IS NOT NULL), ph A
 h AS (SELECT f, p, contains(regexp_replace(text, '[^\\p{L}\\p{N}_]', '', 'g'), regexp_replace(p, '[^\\p{L}\\p{N}_]', '', 'g')) AS hit FROM ph JOIN t USING (f))
 SELECT coalesce(f, -1) AS file, count_if(hit)::BIGINT AS found, count(*) AS phrases, count_if(hit) / count(*) AS recall FROM h GROUP BY ROLLUP (f)
 """)
-def phrase_recall_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def phrase_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrases found in recognised texts over the whole table, by file and over all."""
     return _recall(derive.table(spark, sf_dir, "documents").where("text IS NOT NULL"))
 

@@ -51,7 +51,7 @@ def documents(spark, folder, texts):
 
 
 def test_phrase_recall_reads_every_document(spark, tmp_path):
-    rows = catalog.queries()["phrase_recall_all"](spark, documents(spark, tmp_path, [f"word{i} and more" for i in range(25)] + [None])).collect()
+    rows = catalog.queries()["phrase_recall"](spark, documents(spark, tmp_path, [f"word{i} and more" for i in range(25)] + [None])).collect()
     found = {r["file"]: (r["found"], r["phrases"]) for r in rows}
     assert found == {i: (1, 2 if i % 20 == 0 else 1) for i in range(25)} | {-1: (25, 27)}
 
@@ -76,14 +76,14 @@ LINES = ["Plain words", "12 begins with digits", "(x bracket", "ends in 7", "Él
 
 
 def test_list_tags_of_all_lines(spark, tmp_path):
-    rows = catalog.queries()["list_tags_all"](spark, documents(spark, tmp_path, ["\n".join(LINES)])).collect()
+    rows = catalog.queries()["list_tags"](spark, documents(spark, tmp_path, ["\n".join(LINES)])).collect()
     got = {r["line_no"]: (r["list_type"], r["list_tag"]) for r in rows}
     of = {0: ("11", "1. "), 1: ("10", "2.3 "), 2: ("18", "（一）"), 3: ("21", "①"), 4: ("26", "第三章 "), 5: ("★", "★"), 6: ("19", "b) "), 7: (None, None)}
     assert got == {i: of[i % 8] for i in range(len(LINES))}
 
 
 def test_paragraphs_of_all_lines(spark, tmp_path):
-    rows = catalog.queries()["paragraph_split_all"](spark, documents(spark, tmp_path, ["\n".join(LINES)])).collect()
+    rows = catalog.queries()["paragraph_split"](spark, documents(spark, tmp_path, ["\n".join(LINES)])).collect()
     tag = re.compile(r"\s*(\d+\s*\.|[a-z]\)|•)")
     expect = {}
     for page in range(0, len(LINES), 4):

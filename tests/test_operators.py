@@ -55,7 +55,7 @@ def test_caption_merge(spark):
     rows = [(1, 0, None, "Table", "t", 5), (1, 1, None, "TableName", "n1", 2), (1, 2, None, "FigureName", "n2", 3), (1, 3, None, "Figure", "f", 4), (1, 4, None, "TableName", "n3", 1), (1, 5, 4, "Odd", "x", 1)]
     nodes = spark.createDataFrame(rows, "doc_id long, ordinal int, parent int, layout_type string, text string, tokens int")
     got = {r["ordinal"]: (r["type"], r["name"], r["tokens"]) for r in tree.merge_captions(nodes).collect()}
-    assert got == {0: ("Table", "n1", 7), 3: ("Figure", "n2", 7), 4: ("text", None, 1), 5: ("Text", None, 1)}
+    assert got == {0: ("Table", "n1", 7), 3: ("Figure", "n2", 7), 4: ("text", None, 2), 5: ("Text", None, 1)}  # tokens of the whole subtree
 
 
 def test_components_against_search(spark):
@@ -243,3 +243,52 @@ def test_sections(spark):
     rows += [(1, 0, 9, (0.0, 60.0, 90.0, 70.0)), (2, 0, 0, (0.0, 0.0, 45.0, 10.0)), (2, 0, 1, (50.0, 0.0, 100.0, 10.0))]
     got = {(r["doc_id"], r["ordinal"]): (r["section"], r["column"]) for r in spatial.sections(spark.createDataFrame(rows, f"doc_id long, page int, ordinal int, box {BOX}")).collect()}
     assert got == {(1, 0): (1, 1), **{(1, i): (2, 2 - i % 2) for i in range(1, 7)}, (1, 9): (3, 1), (2, 0): (1, 1), (2, 1): (1, 1)}
+
+
+def test_nodes_below_a_merged_caption_go(spark):
+    rows = [(1, 0, None, "Table", "t", 5), (1, 1, None, "TableName", "n", 2), (1, 2, 1, "Text", "a", 3), (1, 3, 2, "Text", "b", 4), (2, 0, None, "Text", None, None)]
+    nodes = spark.createDataFrame(rows, "doc_id long, ordinal int, parent int, layout_type string, text string, tokens int")
+    got = {(r["doc_id"], r["ordinal"]): (r["type"], r["name"], r["tokens"]) for r in tree.merge_captions(nodes).collect()}
+    assert got == {(1, 0): ("Table", "n", 14), (2, 0): ("Text", None, 0)}
+
+
+def test_deep_trees_and_lost_nodes(spark):
+    """A chain of 500 levels in each of 30 documents; nodes that hang on no root are left out."""
+    rows = [(d, i, i - 1 if i else None, "Text", "x", 1) for d in range(30) for i in range(500)] + [(0, 900, 901, "Text", "lost", 1), (0, 901, 900, "Text", "lost", 1), (None, 0, None, "Title", "n", 1)]
+    nodes = spark.createDataFrame(rows, "doc_id long, ordinal int, parent int, layout_type string, text string, tokens int")
+    got = {(r["doc_id"], r["ordinal"]): r for r in tree.paths(nodes).collect()}
+    assert len(got) == 30 * 500 + 1
+    assert all(got[d, i]["path"] == [1] * (i + 1) and got[d, i]["level"] == i + 1 for d in (0, 17) for i in (0, 13, 499))
+    sums = {(r["doc_id"], r["ordinal"]): r["subtree_tokens"] for r in tree.token_sums(nodes).collect()}
+    assert sums[3, 0] == 500 and sums[3, 499] == 1
+    assert tree.flatten(nodes).where("doc_id = 4").count() == 500 and tree.markdown(nodes).count() == 31
+    assert tree.paths(nodes.limit(0)).count() == 0
+
+
+def test_greedy_mapping_of_one_sided_documents(spark):
+    node = "doc_id long, ordinal int, order_num string, page_num int, text string"
+    labels = spark.createDataFrame([(1, 0, "1", -1, "alpha"), (2, 0, "1", -1, None)], node)
+    parsed = spark.createDataFrame([(2, 0, "1", -1, "x"), (3, 0, "1", -1, "y")], node)
+    got = sorted((r["doc_id"], r["label"], r["parsed"], r["score"]) for r in evaluate.mapping(labels, parsed).collect())
+    assert got == [(1, "1", None, 0.0), (2, "1", "1", 0.0)]
+
+
+def test_images_stay_and_blank_texts_go(spark):
+    rows = [(1, 0, 0, "text", "h"), (1, 0, 1, "image", None), (1, 0, 2, "text", "\t\u3000"), (1, 0, 3, "text", "body"), (1, 0, 4, "text", "end")]
+    got = votes.layout_blocks(spark.createDataFrame(rows, "doc_id long, page int, ordinal int, type string, text string")).collect()
+    assert [(r["type"], r["text"]) for r in sorted(got, key=lambda r: r["block_no"])] == [("text", "h"), ("image", None), ("text", "body"), ("text", "end")]
+
+
+def test_titles_by_rule(spark):
+    cols = "doc_id long, page int, ordinal int, type string, centred boolean, in_catalog boolean, font string, size double, bold boolean"
+    def titles(*blocks):
+        rows = [(1, 0, i, *b) for i, b in enumerate(blocks)]
+        return [r["is_title"] for r in sorted(relations.titles(spark.createDataFrame(rows, cols)).collect(), key=lambda r: r["ordinal"])]
+    text_ = lambda c=True, cat=False, font="a", size=10.0, bold=False: ("text", c, cat, font, size, bold)
+    image = ("image", True, True, None, None, None)
+    assert titles(text_(), text_()) == [False, False]
+    assert titles(text_(), text_(c=False)) == [True, False]
+    assert titles(text_(bold=True), text_()) == [True, False] and titles(text_(), text_(bold=True)) == [False, False]
+    assert titles(text_(size=0.0), text_()) == [False, False] and titles(text_(font=""), text_()) == [False, False]
+    assert titles(image, text_(c=False)) == [False, False] and titles(text_(), image) == [True, False]
+    assert titles(text_(c=False, cat=True), text_(cat=True)) == [True, False]
