@@ -755,3 +755,6 @@ def file_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = F.struct(F.col("event_id").cast("string").alias("id"), (F.col("user_id") % 60 * 500000).alias("bytes"), F.unix_timestamp("ts").alias("created_at"), F.concat(F.lit("f."), ext).alias("filename"), F.lit("assistants").alias("purpose"), (F.col("event_id") % 90).cast("int").alias("pages"))
     value = F.to_json(F.struct(F.when(F.col("event_type") == "purchase", "file.created").otherwise("other").alias("event"), data.alias("data"), F.lit('{"user": "u"}').alias("metadata")))
     return events.accepted(e.select(value.alias("value"))).select("id", "route", "bytes")
+
+
+from . import pages  # noqa: E402,F401  (adds its queries to those above)

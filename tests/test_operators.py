@@ -9,7 +9,9 @@ import zipfile
 import pandas as pd
 from pyspark.sql import functions as F
 
-from sparkleaf.operators import evaluate, relations, spatial, tables, tree, votes
+from sparkleaf.functions import text as text_functions
+from sparkleaf.operators import blocks as page_blocks
+from sparkleaf.operators import evaluate, relations, spatial, standard, tables, tree, votes
 from sparkleaf.sources import adapters, files, sinks
 from sparkleaf.streaming import events
 
@@ -292,3 +294,84 @@ def test_titles_by_rule(spark):
     assert titles(text_(size=0.0), text_()) == [False, False] and titles(text_(font=""), text_()) == [False, False]
     assert titles(image, text_(c=False)) == [False, False] and titles(text_(), image) == [True, False]
     assert titles(text_(c=False, cat=True), text_(cat=True)) == [True, False]
+
+
+def page_lines(spark, *texts, gap=4, indent=None):
+    rows = [(1, 0, i, "text", t, False, 72.0 + (indent or {}).get(i, 0), 72.0 + i * (10 + gap), 72.0 + (indent or {}).get(i, 0) + 5 * len(t), 82.0 + i * (10 + gap)) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, page int, ordinal int, type string, text string, has_image boolean, x0 double, y0 double, x1 double, y1 double")
+
+
+def block_numbers(df):
+    return [r["block_no"] for r in sorted(page_blocks.joined(df).collect(), key=lambda r: (r["doc_id"], r["page"], r["ordinal"]))]
+
+
+def test_lines_are_joined_to_blocks(spark):
+    long = "words that fill the line from its left to its right"
+    assert block_numbers(page_lines(spark, long, long, long)) == [1, 1, 1]
+    assert block_numbers(page_lines(spark, "1. first item of a list of some length", "2. second item of that list, as long")) == [1, 2]
+    assert block_numbers(page_lines(spark, "1. first item,", "   goes on here at length")) == [1, 1]
+    first = page_lines(spark, long, "a table", long).withColumn("type", F.when(F.col("ordinal") == 1, "table").otherwise("text"))
+    assert block_numbers(first) == [1, 2, 3]
+    images = page_lines(spark, long, long, long).withColumn("has_image", F.col("ordinal") == 1)
+    assert block_numbers(images) == [1, 2, 3]
+    indented = page_lines(spark, long, long, long, long, indent={0: 20, 2: 20})
+    assert block_numbers(indented) == [1, 1, 1, 1]  # alike gaps decide before indents
+    apart = page_lines(spark, long, long).withColumns({c: F.col(c) + F.when(F.col("ordinal") == 1, 40.0).otherwise(0.0) for c in ("y0", "y1")})
+    assert block_numbers(apart.unionByName(page_lines(spark, long, long, long).withColumn("page", F.lit(1)))) == [1, 1, 1, 1, 1]
+    body = page_lines(spark, "centred title", long * 2, long * 2, long * 2)
+    for title in ({"x0": 297.0, "x1": 357.0, "y0": 62.0, "y1": 72.0}, {"x0": 72.0, "x1": 132.0, "y0": 62.0, "y1": 72.0}):
+        moved = body.withColumns({c: F.when(F.col("ordinal") == 0, v).otherwise(F.col(c)) for c, v in title.items()})
+        assert block_numbers(moved) == [1, 2, 2, 2]  # centred before one that isn't, or farther off than lines usually are
+    near = body.withColumns({c: F.when(F.col("ordinal") == 0, v).otherwise(F.col(c)) for c, v in {"x0": 297.0, "x1": 357.0}.items()})
+    assert block_numbers(near) == [1, 1, 1, 1]  # in one group an indent decides
+    assert page_blocks.joined(page_lines(spark, "x").limit(0)).count() == 0
+    odd = page_lines(spark, "(an open", "bracket) closes").withColumn("text", F.when(F.col("ordinal") == 0, "(an open").otherwise(F.col("text")))
+    assert block_numbers(odd) == [1, 1]
+    got = page_blocks.block_texts(page_blocks.joined(page_lines(spark, long, long))).collect()
+    assert [(r["n_lines"], r["text"], r["y1"]) for r in got] == [(2, f"{long}\n{long}", 96.0)]
+
+
+def test_pages_of_one_document_are_joined_apart(spark):
+    rng = random.Random(3)
+    rows = []
+    for page in range(40):
+        y = 72.0
+        for i in range(rng.randint(1, 30)):
+            t = rng.choice(["1. item", "words here", "(open", "close)", "ends,", "a much longer line of words here"]) + "x" * rng.randint(0, 20)
+            rows.append((page % 7, page, i, rng.choice(["text"] * 9 + ["table"]), t, rng.random() < 0.05, 72.0 + rng.choice([0, 0, 0, 20]), y, 72.0 + 5 * len(t), y + 10))
+            y += 10 + rng.choice([0, 2, 2, 2, 9, 20, -10])
+    names = ["doc_id", "page", "ordinal", "type", "text", "has_image", "x0", "y0", "x1", "y1"]
+    df = spark.createDataFrame(rows, "doc_id long, page int, ordinal int, type string, text string, has_image boolean, x0 double, y0 double, x1 double, y1 double")
+    got = {(r["doc_id"], r["page"], r["ordinal"]): r["block_no"] for r in page_blocks.joined(df).collect()}
+    tags = {(r["doc_id"], r["page"], r["ordinal"]): r["t"] for r in df.select("doc_id", "page", "ordinal", text_functions.list_tag("text").alias("t")).collect()}
+    for page in range(40):
+        own = [dict(zip(names, r), list_tag=tags[r[:3]]) for r in rows if r[1] == page]
+        assert [got[page % 7, page, r["ordinal"]] for r in own] == page_blocks.join_numbers(own)
+        numbers = page_blocks.join_numbers(own)
+        assert numbers[0] == 1 and all(b - a in (0, 1) for a, b in zip(numbers, numbers[1:]))
+        assert all(numbers.count(n) == 1 for n, r in zip(numbers, own) if r["type"] == "table")
+
+
+def test_standard_tree_of_tables_images_and_captions(spark):
+    cells = [[("a", 0, 0, 0, 1)], [("b", 1, 1, 0, 0), (None, 1, 1, 1, 1)]]
+    rows = [
+        (1, 0, None, "Title", "Head line", 0, [0.0, 0.0, 9.0, 1.0], None, None, None),
+        (1, 1, 0, "TableName", "Table 1 sizes", 0, [0.0, 1.0, 9.0, 2.0], None, None, None),
+        (1, 2, 0, "Table", None, 0, [0.0, 2.0, 9.0, 5.0], None, None, cells),
+        (1, 3, 0, "Figure", None, 1, [0.0, 0.0, 9.0, 5.0], "http://p/1.png", "seen words", None),
+        (1, 4, 0, "FigureNote", "a note", 1, [0.0, 6.0, 9.0, 7.0], None, None, None),
+        (1, 5, 0, "FigureName", "alone", 1, [0.0, 8.0, 9.0, 9.0], None, None, None),
+        (1, 6, None, "Strange", None, 2, None, None, None, None),
+    ]
+    schema = f"doc_id long, ordinal int, parent int, layout_type string, text string, page_num int, bbox array<double>, image_link string, image_ocr_result string, rows {standard.CELLS}"
+    nodes = standard.standard_nodes(spark.createDataFrame(rows, schema))
+    got = {r["ordinal"]: r for r in nodes.collect()}
+    assert {i: r["path"] for i, r in got.items()} == {0: [1], 2: [1, 1], 3: [1, 2], 4: [1, 3], 5: [1, 4], 6: [2]}
+    assert [got[i]["element"]["type"] for i in (0, 2, 3, 4, 5, 6)] == ["Title", "Table", "Figure", "Text", "text", "Text"]
+    table = got[2]["element"]
+    assert table["name"] == "Table 1 sizes" and table["text"] is None and [p["bbox"][1] for p in table["positions"]] == [2.0, 1.0]
+    assert [[(c["path"], c["text"], [n["text"] for n in c["nodes"]]) for c in r] for r in table["rows"]] == [[([0, 0, 0, 1], "a", ["a"])], [([1, 1, 0, 0], "b", ["b"]), ([1, 1, 1, 1], None, [None])]]
+    assert got[3]["element"]["image"]["url"] == "http://p/1.png" and got[3]["element"]["text"] == "seen words" and got[3]["element"]["name"] == ""
+    assert got[2]["tokens"] == 2 + 3 and got[0]["tokens"] == 2 + 3 + 2 + 2 + 2 + 1 and got[6]["tokens"] == 0
+    out = standard.standard_documents(nodes).collect()
+    assert [(r["doc_id"], r["tokens"], len(json.loads(r["json"]))) for r in out] == [(1, 12, 6)]
