@@ -231,3 +231,38 @@ def block_texts(lines: DataFrame) -> DataFrame:
     parts = F.array_sort(F.collect_list(F.struct("ordinal", F.coalesce("text", F.lit("")).alias("t"))))
     edges = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
     return lines.groupBy(*PAGE, "block_no").agg(F.min_by("type", "ordinal").alias("type"), F.count(F.lit(1)).alias("n_lines"), F.array_join(F.transform(parts, lambda x: x["t"]), "\n").alias("text"), *edges)
+
+
+# ---- pseudo-bold
+
+
+def bold_flags(rows: list[dict]) -> list[int]:
+    """1 for each bold span, 0 for the others and for traces (the plain core of `assign_pseudo_bold`)."""
+    traces = [(r["text"] or "", bool(r["pseudo_bold"])) for r in rows if r["kind"] == "trace"]
+    out, at = [], 0
+    for r in rows:
+        if r["kind"] != "span" or at == len(traces):
+            out.append(0)
+            continue
+        span, read, bold = r["text"] or "", "", False
+        while at < len(traces):
+            chars, flag = traces[at]
+            read += chars
+            if not (span.startswith(read) or (chars in span and flag == bold)):
+                break
+            bold, at = flag, at + 1
+        out.append(int(bold))
+    return out
+
+
+def assign_pseudo_bold(spans: DataFrame, traces: DataFrame) -> DataFrame:
+    """(doc_id, page, ordinal, text, pseudo_bold): spans with the boldness of the traces that make them up.
+
+    spans: (doc_id, page, ordinal, text); traces: (doc_id, page, ordinal, chars, pseudo_bold), both in drawing order. A span takes traces
+    while what they spell opens it, or while their characters lie in it and their boldness is the last one's; the last one
+    taken decides. What a span takes depends on the spans before, so a page is one group.
+    """
+    own = spans.select(*PAGE, F.col("ordinal").cast("int").alias("ordinal"), F.lit("span").alias("kind"), "text", F.lit(False).alias("pseudo_bold"))
+    drawn = traces.select(*PAGE, F.col("ordinal").cast("int").alias("ordinal"), F.lit("trace").alias("kind"), F.col("chars").alias("text"), F.coalesce("pseudo_bold", F.lit(False)).alias("pseudo_bold"))
+    found = numbered(own.unionByName(drawn), PAGE, ["ordinal"], ["kind", "text", "pseudo_bold"], "bold", bold_flags)
+    return found.where("kind = 'span'").select(*PAGE, "ordinal", "text", (F.col("bold") == 1).alias("pseudo_bold"))

@@ -159,3 +159,31 @@ def text_grid(cells: DataFrame, spans: DataFrame) -> DataFrame:
     value = F.when(F.col("row_span") == 0, F.lit(None)).when(F.coalesce("nested", F.lit(False)), F.lit("<NEST TABLE>")).otherwise(F.coalesce("text", F.lit("")))
     line = rows.groupBy("table_id", "row").agg(F.array_sort(F.collect_list(F.struct("col", value.alias("v")))).alias("c"))
     return line.groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("row", "c"))).alias("r")).select("table_id", F.transform("r", lambda x: F.transform(x["c"], lambda y: y["v"])).alias("grid"))
+
+
+def cell_borders(cells: DataFrame, strokes: DataFrame, least: float = 5.0, share: float = 0.75) -> DataFrame:
+    """(table_id, row, col, side, width, color): the stroke along each side (top, bottom, left, right) of a cell; null without one.
+
+    cells: (table_id, row, col, x0, y0, x1, y1), merged boxes; strokes: (table_id, horizontal, at, low, high, width, color). Strokes at
+    the side's place that run along it for `least` points count; they must cover a share of it and have one colour, and the first
+    of them gives the width.
+    """
+    side = lambda name, flat, at, low, high: F.struct(F.lit(name).alias("side"), F.lit(flat).alias("horizontal"), F.col(at).alias("at"), F.col(low).alias("__low"), F.col(high).alias("__high"))
+    sides = F.array(side("top", True, "y0", "x0", "x1"), side("bottom", True, "y1", "x0", "x1"), side("left", False, "x0", "y0", "y1"), side("right", False, "x1", "y0", "y1"))
+    rows = cells.select("table_id", "row", "col", F.explode(sides).alias("s")).select("table_id", "row", "col", "s.*")
+    along = F.least("high", "__high") - F.greatest("low", "__low")
+    met = rows.join(strokes, ["table_id", "horizontal", "at"]).withColumn("along", along).where(F.col("along") >= least)
+    keys = ["table_id", "row", "col", "side"]
+    found = met.groupBy(*keys).agg(F.sum("along").alias("__sum"), F.max(F.col("__high") - F.col("__low")).alias("__len"), F.count_distinct("color").alias("__colors"), F.min_by("width", "low").alias("width"), F.min_by("color", "low").alias("color"))
+    found = found.where((F.col("__sum") >= share * F.col("__len")) & (F.col("__colors") <= 1)).select(*keys, "width", "color")
+    return rows.select(*keys).join(found, keys, "left")
+
+
+def cell_shading(cells: DataFrame, borders: DataFrame, fills: DataFrame, share: float = 0.9) -> DataFrame:
+    """(table_id, row, col, fill, color): the first fill (table_id, ordinal, box, color) that covers a cell within its borders; null without one."""
+    widths = borders.groupBy("table_id", "row", "col").agg(*[F.max(F.when(F.col("side") == s, F.col("width"))).alias(f"__{s}") for s in ("top", "bottom", "left", "right")])
+    half = lambda s: F.coalesce(F.col(f"__{s}") / 2, F.lit(0.0))
+    inner = cells.join(widths, ["table_id", "row", "col"], "left").select("table_id", "row", "col", geometry.box(F.col("x0") + half("left"), F.col("y0") + half("top"), F.col("x1") - half("right"), F.col("y1") - half("bottom")).alias("__inner"))
+    hit = inner.join(fills.select("table_id", "ordinal", F.col("box").alias("__fill"), "color"), "table_id").where(geometry.covers("__fill", "__inner", share))
+    first = hit.groupBy("table_id", "row", "col").agg(F.min("ordinal").alias("fill"), F.min_by("color", "ordinal").alias("color"))
+    return cells.select("table_id", "row", "col").join(first, ["table_id", "row", "col"], "left")

@@ -19,6 +19,19 @@ def kafka_source(spark: SparkSession, servers: str, topic: str) -> DataFrame:
     return df.select(F.col("value").cast("string").alias("value"))
 
 
+def kafka_sink(messages: DataFrame, servers: str, topic: str, checkpoint: str | None = None) -> StreamingQuery | None:
+    """Send messages (value, and key if there is one) to a topic, acknowledged by all replicas and tried nine times more.
+
+    A stream needs a checkpoint folder and gives its query. Needs Spark's Kafka connector on the class path.
+    """
+    options = {"kafka.bootstrap.servers": servers, "topic": topic, "kafka.acks": "all", "kafka.retries": "9", "kafka.retry.backoff.ms": "1000"}
+    sent = messages.select(*[F.col(c).cast("string").alias(c) for c in ("key", "value") if c in messages.columns])
+    if messages.isStreaming:
+        return sent.writeStream.format("kafka").options(**options).option("checkpointLocation", checkpoint).start()
+    sent.write.format("kafka").options(**options).save()
+    return None
+
+
 def folder_source(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
     """Raw messages (value), one a line, of the files that arrive in a folder."""
     return spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)

@@ -375,3 +375,10 @@ def test_standard_tree_of_tables_images_and_captions(spark):
     assert got[2]["tokens"] == 2 + 3 and got[0]["tokens"] == 2 + 3 + 2 + 2 + 2 + 1 and got[6]["tokens"] == 0
     out = standard.standard_documents(nodes).collect()
     assert [(r["doc_id"], r["tokens"], len(json.loads(r["json"]))) for r in out] == [(1, 12, 6)]
+
+
+def test_bold_traces_are_assigned_to_spans(spark):
+    spans = [(1, 0, 0, "bold words"), (1, 0, 1, "plain"), (1, 0, 2, "mixed up"), (1, 1, 0, "alone"), (2, 0, 0, "x")]
+    traces = [(1, 0, 0, "bold ", True), (1, 0, 1, "words", True), (1, 0, 2, "plain", False), (1, 0, 3, "mixed", False), (1, 0, 4, " up", True), (2, 0, 0, "other", True)]
+    got = page_blocks.assign_pseudo_bold(spark.createDataFrame(spans, "doc_id long, page int, ordinal int, text string"), spark.createDataFrame(traces, "doc_id long, page int, ordinal int, chars string, pseudo_bold boolean")).collect()
+    assert {(r["doc_id"], r["page"], r["ordinal"]): r["pseudo_bold"] for r in got} == {(1, 0, 0): True, (1, 0, 1): False, (1, 0, 2): True, (1, 1, 0): False, (2, 0, 0): False}
