@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 from test_llm_operators import DOCS, brute_components, brute_lines, brute_quality, prose
 
-from sparkleaf.llm import queries
+from sparkleaf.llm import pii, queries, tokencount
+from sparkleaf.llm.common import tokenizer_file
 
 
 @pytest.fixture(scope="module")
@@ -54,10 +55,25 @@ def test_stages_against_plain_versions(spark, folder):
     assert got == {i: t for i, t in before.items() if groups[i][1] == i}
     before = got
     df, got = step("mask pii", df)
-    assert set(got) == set(before) and not any("@" in t for t in got.values())
+    model = pii.train()
+    plain = {i: pii.masked_text(t, [(k, s, e, False) for k, found in enumerate(zip(pii.base_spans(t), pii.added_spans(model, [t], [pii.base_spans(t)], everywhere=True)[0])) for spans in found for s, e in spans]) for i, t in before.items()}
+    assert got == plain and not any("@" in t for t in got.values())
     packed = stages["pack"](spark, df, path)
     assert packed.select("doc_id").distinct().count() == len(got)
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+    library = tokencount.bpe(tokenizer_file("byte_bpe_50k.json"))
+    sizes = {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in got.items()}
+    assert {r["doc_id"]: r["n"] for r in packed.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()} == sizes
+    bound = -(-sum(sizes.values()) // 2048)
+    assert packed.select("sequence_id").distinct().count() <= bound + 1
+
+
+def test_stages_of_an_empty_table_and_of_null_ids(spark, folder):
+    docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
+    empty, odd = docs.limit(0), docs.limit(3).withColumn("doc_id", F.lit(None).cast("long")).withColumn("DOC", F.lit(1))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, folder[0]).count() == 0, name
+        assert stage(spark, odd, folder[0]).count() == 3, name
 
 
 def test_run_gives_the_last_stage(spark, folder):
