@@ -1,7 +1,9 @@
 """A training corpus from documents: quality rules, line dedup, near-dedup, personal data masked, packed sequences.
 
 Each stage takes (spark, docs, sf_dir), where docs are all rows that the stage before kept, and returns a DataFrame: all but the
-last with the columns of documents. run() writes each stage's rows as Parquet in the shared folder and reads them again.
+last with the columns of documents (others are dropped). run() writes each stage's rows as Parquet in the shared folder, reads
+them again, and deletes them when the next stage has written its own. An empty table gives no rows; a null doc_id is kept as
+it is; null texts fail the quality rules.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkleaf.llm import linededup, minhash, packing, pii, quality
-from sparkleaf.llm.common import settle
+from sparkleaf.llm.common import discard, settle
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -59,9 +61,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over the whole documents table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
