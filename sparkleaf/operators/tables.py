@@ -166,7 +166,7 @@ def cell_borders(cells: DataFrame, strokes: DataFrame, least: float = 5.0, share
 
     cells: (table_id, row, col, x0, y0, x1, y1), merged boxes; strokes: (table_id, horizontal, at, low, high, width, color). Strokes at
     the side's place that run along it for `least` points count; they must cover a share of it and have one colour, and the first
-    of them gives the width.
+    of them (by low, then high, then width) gives the width.
     """
     side = lambda name, flat, at, low, high: F.struct(F.lit(name).alias("side"), F.lit(flat).alias("horizontal"), F.col(at).alias("at"), F.col(low).alias("__low"), F.col(high).alias("__high"))
     sides = F.array(side("top", True, "y0", "x0", "x1"), side("bottom", True, "y1", "x0", "x1"), side("left", False, "x0", "y0", "y1"), side("right", False, "x1", "y0", "y1"))
@@ -174,7 +174,7 @@ def cell_borders(cells: DataFrame, strokes: DataFrame, least: float = 5.0, share
     along = F.least("high", "__high") - F.greatest("low", "__low")
     met = rows.join(strokes, ["table_id", "horizontal", "at"]).withColumn("along", along).where(F.col("along") >= least)
     keys = ["table_id", "row", "col", "side"]
-    found = met.groupBy(*keys).agg(F.sum("along").alias("__sum"), F.max(F.col("__high") - F.col("__low")).alias("__len"), F.count_distinct("color").alias("__colors"), F.min_by("width", "low").alias("width"), F.min_by("color", "low").alias("color"))
+    found = met.groupBy(*keys).agg(F.sum("along").alias("__sum"), F.max(F.col("__high") - F.col("__low")).alias("__len"), F.count_distinct("color").alias("__colors"), F.min_by("width", F.struct("low", "high", "width")).alias("width"), F.min("color").alias("color"))
     found = found.where((F.col("__sum") >= share * F.col("__len")) & (F.col("__colors") <= 1)).select(*keys, "width", "color")
     return rows.select(*keys).join(found, keys, "left")
 

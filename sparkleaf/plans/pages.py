@@ -311,8 +311,8 @@ _STROKES = "s AS (SELECT table_id, row, x0 + table_id % 20 AS low, x1 AS high, y
 
 @_query(f"""
 WITH {_GRID}, {_STROKES},
-m AS (SELECT g.table_id, g.row, g.col, least(s.high, g.x1) - greatest(s.low, g.x0) AS d, s.width, s.color, s.low FROM g JOIN s ON s.table_id = g.table_id AND s.at = g.y0),
-t AS (SELECT table_id, row, col, min_by(width, low) AS width, min(color) AS color FROM m WHERE d >= 5 GROUP BY ALL HAVING sum(d) >= 37.5 AND count(DISTINCT color) = 1)
+m AS (SELECT g.table_id, g.row, g.col, least(s.high, g.x1) - greatest(s.low, g.x0) AS d, s.width, s.color, s.low, s.high FROM g JOIN s ON s.table_id = g.table_id AND s.at = g.y0),
+t AS (SELECT table_id, row, col, min_by(width, low * 1000000 + high) AS width, min(color) AS color FROM m WHERE d >= 5 GROUP BY ALL HAVING sum(d) >= 37.5 AND count(DISTINCT color) = 1)
 SELECT g.table_id, g.row, g.col, t.width::DOUBLE AS top_width, t.color::INTEGER AS top_color, CASE WHEN 0.9 <= round(CASE WHEN g.col = 0 THEN 1 ELSE (least(g.x1, 98 - g.table_id % 5) - g.x0) / 50 END, 2) THEN 'shaded' ELSE 'plain' END AS shade FROM g LEFT JOIN t USING (table_id, row, col)
 """)
 def table_borders(spark: SparkSession, sf_dir: str) -> DataFrame:
