@@ -176,7 +176,8 @@ def fit(train: DataFrame, rows_per_label: int = TRAIN_ROWS_PER_LABEL) -> Model:
 
     # a hash keeps about twice the rows that are asked for, whatever the label's share, before any are ranked
     sizes = train.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    near = train.select("doc_id", "lang").join(sizes, "lang").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.col("n"))).where(F.col("h") < 2 * rows_per_label + 100)
+    # a row for each label, of which the sample below holds rows_per_label: fit to broadcast
+    near = train.select("doc_id", "lang").join(F.broadcast(sizes), "lang").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.col("n"))).where(F.col("h") < 2 * rows_per_label + 100)
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
     picked = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= rows_per_label)
     sample = train.join(F.broadcast(picked.select("doc_id", "r").dropDuplicates(["doc_id"])), "doc_id")  # at most rows_per_label rows of each label
