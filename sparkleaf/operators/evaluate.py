@@ -5,6 +5,7 @@ Nodes: (doc_id, ordinal, order_num, page_num (-1: any), layout_type, text, box).
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -24,16 +25,17 @@ def similarity(a: str, b: str) -> float:
 
 
 def _match(labels: pd.DataFrame, parsed: pd.DataFrame, threshold: float) -> list[tuple]:
-    free = list(parsed.sort_values("ordinal").itertuples(index=False))
+    free = [(node, Counter(node.clean)) for node in parsed.sort_values("ordinal").itertuples(index=False)]
     out = []
     for label in labels.sort_values("ordinal").itertuples(index=False):
-        found, score, n = [], 0.0, len(label.clean)
-        for at, node in enumerate(free):
+        found, score, n, letters = [], 0.0, len(label.clean), Counter(label.clean)
+        for at, (node, others) in enumerate(free):
             if label.page_num != -1 and node.page_num != -1 and label.page_num != node.page_num:
                 continue
             m = len(node.clean)
-            near = n + m == 0 or 2 * min(n, m) >= (threshold - 0.006) * (n + m)  # no ratio can exceed this bound
-            ratio = round(similarity(label.clean, node.clean), 2) if near else 0.0
+            least = (threshold - 0.006) * (n + m)  # no ratio can exceed what lengths, or characters in common, allow
+            near = n + m == 0 or (2 * min(n, m) >= least and 2 * sum(min(k, others[c]) for c, k in letters.items()) >= least)
+            ratio = 1.0 if label.clean == node.clean else round(similarity(label.clean, node.clean), 2) if near else 0.0
             if near and ratio >= threshold:
                 found.append(node.order_num)
                 score = ratio
@@ -113,15 +115,41 @@ def reverse_unique(mapped: DataFrame) -> DataFrame:
     return back.select("doc_id", "parsed", "label")
 
 
-def structure_accuracy(mapped: DataFrame, label_edges: DataFrame, parsed_edges: DataFrame) -> DataFrame:
-    """(doc_id, right, total): label edges both of whose ends have one match such that the parser has the same edge."""
+def judged_edges(mapped: DataFrame, label_edges: DataFrame, parsed_edges: DataFrame) -> DataFrame:
+    """(doc_id, child, parent, found): label edges under a parent; found if both ends have one match and the parser has the same edge."""
     one = mapped.where(F.col("parsed").isNotNull()).groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("n"), F.first("parsed").alias("parsed")).where("n = 1").drop("n")
     edges = label_edges.where(F.col("parent").isNotNull())
     child = one.select("doc_id", F.col("label").alias("child"), F.col("parsed").alias("__c"))
     parent = one.select("doc_id", F.col("label").alias("parent"), F.col("parsed").alias("__p"))
-    held = parsed_edges.where(F.col("parent").isNotNull()).select("doc_id", F.col("child").alias("__c"), F.col("parent").alias("__p")).distinct().withColumn("__hit", F.lit(1))
+    held = parsed_edges.where(F.col("parent").isNotNull()).select("doc_id", F.col("child").alias("__c"), F.col("parent").alias("__p")).distinct().withColumn("__hit", F.lit(True))
     rows = edges.join(child, ["doc_id", "child"], "left").join(parent, ["doc_id", "parent"], "left").join(held, ["doc_id", "__c", "__p"], "left")
-    return rows.groupBy("doc_id").agg(F.count("__hit").alias("right"), F.count(F.lit(1)).alias("total"))
+    return rows.select("doc_id", "child", "parent", F.coalesce("__hit", F.lit(False)).alias("found"))
+
+
+def structure_accuracy(mapped: DataFrame, label_edges: DataFrame, parsed_edges: DataFrame) -> DataFrame:
+    """(doc_id, right, total): label edges, and those that the parser has too (judged_edges)."""
+    return judged_edges(mapped, label_edges, parsed_edges).groupBy("doc_id").agg(F.count_if("found").alias("right"), F.count(F.lit(1)).alias("total"))
+
+
+def bad_cases(labels: DataFrame, mapped: DataFrame, edges: DataFrame) -> DataFrame:
+    """(doc_id, kind, order_num, parent, text, parent_text): labels that no node matches (`split`), and label edges that weren't found (`edge`).
+
+    mapped: (doc_id, label, parsed, score), a score of 0 where nothing matched; edges as from judged_edges.
+    """
+    own = labels.select("doc_id", "order_num", "text")
+    matched = mapped.where(F.col("score") > 0).select("doc_id", F.col("label").alias("order_num")).distinct()
+    split = own.join(matched, ["doc_id", "order_num"], "left_anti").select("doc_id", F.lit("split").alias("kind"), "order_num", F.lit(None).cast("string").alias("parent"), "text", F.lit(None).cast("string").alias("parent_text"))
+    lost = edges.where(~F.col("found")).select("doc_id", F.col("child").alias("order_num"), "parent")
+    above = own.select("doc_id", F.col("order_num").alias("parent"), F.col("text").alias("parent_text"))
+    edge = lost.join(own, ["doc_id", "order_num"], "left").join(above, ["doc_id", "parent"], "left")
+    return split.unionByName(edge.select("doc_id", F.lit("edge").alias("kind"), "order_num", "parent", "text", "parent_text"))
+
+
+def report(cases: DataFrame) -> DataFrame:
+    """(doc_id, n_split, n_edge, report): a document's bad cases as one text, a line each, by kind and then order number."""
+    shown = F.when(F.col("kind") == "split", F.concat_ws(": ", F.concat_ws(" ", "kind", "order_num"), F.coalesce("text", F.lit("")))).otherwise(F.concat_ws(": ", F.concat_ws(" ", "kind", "order_num", F.lit("under"), "parent"), F.concat_ws(" | ", F.coalesce("parent_text", F.lit("")), F.coalesce("text", F.lit("")))))
+    lines = F.array_sort(F.collect_list(F.struct("kind", "order_num", shown.alias("line"))))
+    return cases.groupBy("doc_id").agg(F.count_if(F.col("kind") == "split").alias("n_split"), F.count_if(F.col("kind") == "edge").alias("n_edge"), F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("report"))
 
 
 def filled_boxes(labels: DataFrame, mapped: DataFrame, parsed: DataFrame) -> DataFrame:

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import geometry
+from .grouped import numbered
 
 PAGE = ["doc_id", "page"]
 
@@ -96,24 +95,103 @@ def components(rows: DataFrame, dx: float = 0.0, dy: float = 0.0, overlap_share:
     Boxes are connected if they meet after growing by dx and dy (negative: shrinking), or with overlap_share if the
     intersection is that share of the smaller one. A page is one group: pages are small by nature.
     """
-    schema = T.StructType([*rows.schema.fields, T.StructField(out, T.IntegerType())])
-
-    def of_page(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("ordinal").reset_index(drop=True)
-        b = np.array([[x["x0"], x["y0"], x["x1"], x["y1"]] for x in page["box"]], float).reshape(-1, 4)
+    def number(page: list[dict]) -> list[int]:
+        b = _corners(page)
+        size = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
 
         def linked(i: int, j: np.ndarray) -> np.ndarray:
             w = np.minimum(b[i, 2], b[j, 2]) - np.maximum(b[i, 0], b[j, 0])
             h = np.minimum(b[i, 3], b[j, 3]) - np.maximum(b[i, 1], b[j, 1])
             if overlap_share is None:
                 return (w + 2 * dx >= 0) & (h + 2 * dy >= 0)
-            size = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
             return np.maximum(w, 0) * np.maximum(h, 0) >= np.maximum(overlap_share * np.minimum(size[i], size[j]), 1e-9)
 
-        page[out] = page["ordinal"].to_numpy()[groups(b, linked)].astype("int32") if len(page) else 0
-        return page
+        return [page[i]["ordinal"] for i in groups(b, linked)]
+
+    return numbered(rows, PAGE, ["ordinal"], ["ordinal", "box"], out, number)
+
+
+def _corners(rows: list[dict]) -> np.ndarray:
+    return np.array([[r["box"][c] for c in ("x0", "y0", "x1", "y1")] for r in rows], float).reshape(-1, 4)
+
+
+def _same_row(b: np.ndarray):
+    """linked() of groups: each box's middle lies above the other's lower edge."""
+    middle = (b[:, 1] + b[:, 3]) / 2
+    return lambda i, j: (middle[i] < b[j, 3]) & (middle[j] < b[i, 3])
+
+
+def physical_rows(lines: DataFrame) -> DataFrame:
+    """All columns, physical_row from 1 by upper edge, and reading_pos from 1: rows from top to bottom, within them from left to right.
+
+    Lines of a page are in one row if a chain of lines joins them, each of whose middles lies above the next one's lower edge and
+    the other way round. Rows of equal upper edge stand in the order of their least ordinal. A page is one group.
+    """
+    def number(rows: list[dict]) -> list[int]:
+        b = _corners(rows)
+        return [rows[i]["ordinal"] for i in groups(b, _same_row(b))]
+
+    marked = numbered(lines, PAGE, ["ordinal"], ["ordinal", "box"], "__row", number)
+    row = Window.partitionBy(*PAGE, "__row")
+    order = Window.partitionBy(*PAGE).orderBy("__top", "__row")
+    out = marked.withColumn("__top", F.min("box.y0").over(row)).withColumn("physical_row", F.dense_rank().over(order))
+    place = Window.partitionBy(*PAGE).orderBy("physical_row", "box.x0", "box.y0", "box.x1", "ordinal")
+    return out.withColumn("reading_pos", F.row_number().over(place)).drop("__row", "__top")
+
+
+def _flows(rows: list[dict], apart: float) -> bool:
+    """Whether lines of one row run on: a single column, and no two neighbours of a physical row `apart` points or more from each other."""
+    if all(r["vertical"] for r in rows):
+        return False
+    b = _corners(rows)
+    right = -np.inf
+    columns = 0
+    for x0, x1 in sorted(map(tuple, b[:, [0, 2]].tolist())):
+        columns += x0 > right + 1e-3
+        right = max(right, x1)
+    if columns > 1:
+        return False
+    row = groups(b, _same_row(b))
+    return not any((np.abs(part[1:, 0] - part[:-1, 2]) >= apart).any() for part in (b[row == r] for r in np.unique(row)))
+
+
+def stream_lines(lines: DataFrame, shadings: DataFrame, apart: float = 5.0, far: float = 50.0) -> DataFrame:
+    """The lines (doc_id, page, ordinal, box, vertical) that may form tables without strokes, with table_no from 1 within the page.
+
+    A page's lines fall into rows of overlapping heights. A row whose lines don't run on (columns side by side, neighbours `apart`
+    points or more apart, vertical text) belongs to a table, as do lines that lie within a shading (doc_id, page, box, color) that
+    isn't white. A row that runs on ends the table before it; a row that lies `far` points or more below the one before it is the last
+    of its table. A page is one group.
+    """
+    zones = shadings.where(F.coalesce("color", F.lit(0)) != 0xFFFFFF).select(*PAGE, F.col("box").alias("__zone"))
+    # fixed value: nine tenths of a line lie within its shading
+    shaded = lines.join(zones, PAGE).where(geometry.covers("__zone", "box", 0.9)).select(*PAGE, "ordinal").distinct().withColumn("__shaded", F.lit(True))
+    marked = lines.join(shaded, [*PAGE, "ordinal"], "left").withColumn("__shaded", F.coalesce("__shaded", F.lit(False))).withColumn("vertical", F.coalesce("vertical", F.lit(False)))
+    marked = marked.withColumn("__y", F.col("box.y0")).withColumn("__x", F.col("box.x0")).withColumn("__x1", F.col("box.x1"))
+
+    def number(rows: list[dict]) -> list[int]:
+        found: list[list[int]] = []
+        low = -np.inf
+        for i, r in enumerate(rows):
+            if not found or r["box"]["y0"] >= low:
+                found.append([])
+            found[-1].append(i)
+            low = max(low, r["box"]["y1"])
+        out, table, used, end = [0] * len(rows), 1, False, max((rows[i]["box"]["y1"] for i in found[0]), default=0.0)
+        for row in found:
+            live = not _flows([rows[i] for i in row], apart)
+            if not live and used:
+                table, used = table + 1, False
+            for i in row:
+                if live or rows[i]["__shaded"]:
+                    out[i], used = table, True
+            if min(rows[i]["box"]["y0"] for i in row) - end >= far and used:
+                table, used = table + 1, False
+            end = max(rows[i]["box"]["y1"] for i in row)
+        return out
 
-    return rows.groupBy(*PAGE).applyInPandas(of_page, schema)
+    out = numbered(marked, PAGE, ["__y", "__x", "__x1", "ordinal"], ["ordinal", "box", "vertical", "__shaded"], "table_no", number)
+    return out.where("table_no > 0").drop("__shaded", "__y", "__x", "__x1")
 
 
 def drop_overlapped(rows: DataFrame, share: float = 0.9) -> DataFrame:
@@ -217,7 +295,7 @@ def sections(lines: DataFrame, gap: float = 1.0, least_height: float = 20.0) ->
     end = F.max(F.when(F.col("box.x0") < F.col("__at"), F.col("box.x1"))).over(row)
     rows = rows.withColumn("__end", end)
     a, b, whole = F.col("__end") - F.col("__left"), F.col("__right") - F.col("__at"), F.col("__right") - F.col("__left")
-    two = F.coalesce((F.col("__n") == 1) & (a / b).between(0.5, 2.0) & (a >= whole / 3) & (b >= whole / 3), F.lit(False))
+    two = F.coalesce((F.col("__n") == 1) & (a >= 0.5 * b) & (a <= 2.0 * b) & (a >= whole / 3) & (b >= whole / 3), F.lit(False))
     rows = rows.withColumn("__two", two)
     per_row = rows.groupBy(*PAGE, "row_no").agg(F.bool_or("__two").alias("two"), F.min("box.y0").alias("top"), F.max("box.y1").alias("low"))
     w = Window.partitionBy(*PAGE).orderBy("row_no")

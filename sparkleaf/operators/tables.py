@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry
+from .grouped import numbered
 
 SHEET = ["doc_id", "sheet_no"]
 
@@ -120,18 +120,19 @@ def clustered_strokes(strokes: DataFrame, gap: float = 2.0) -> DataFrame:
     one is held against, so a table's direction is one group.
     """
 
-    def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        for r in rows.sort_values(["at", "low", "high"]).itertuples(index=False):
-            if out and abs(r.at - out[-1][0]) <= gap:
-                last = out[-1]
-                last[0] = (last[0] * last[3] + r.at) / (last[3] + 1)
-                last[1], last[2], last[3] = min(last[1], r.low), max(last[2], r.high), last[3] + 1
+    def number(rows: list[dict]) -> list[int]:
+        out, place, n = [], 0.0, 0
+        for r in rows:
+            if n and abs(r["at"] - place) <= gap:
+                place, n = (place * n + r["at"]) / (n + 1), n + 1
+                out.append(out[-1])
             else:
-                out.append([r.at, r.low, r.high, 1])
-        return pd.DataFrame([(key[0], bool(key[1]), *o[:3]) for o in out], columns=["table_id", "horizontal", "at", "low", "high"])
+                place, n = r["at"], 1
+                out.append(out[-1] + 1 if out else 1)
+        return out
 
-    return strokes.groupBy("table_id", "horizontal").applyInPandas(merge, "table_id long, horizontal boolean, at double, low double, high double")
+    marked = numbered(strokes, ["table_id", "horizontal"], ["at", "low", "high"], ["at"], "__c", number)
+    return marked.groupBy("table_id", "horizontal", "__c").agg(F.avg("at").alias("at"), F.min("low").alias("low"), F.max("high").alias("high")).drop("__c")
 
 
 def outer_strokes(strokes: DataFrame, boxes: DataFrame, far: float = 6.0) -> DataFrame:
@@ -187,3 +188,24 @@ def cell_shading(cells: DataFrame, borders: DataFrame, fills: DataFrame, share:
     hit = inner.join(fills.select("table_id", "ordinal", F.col("box").alias("__fill"), "color"), "table_id").where(geometry.covers("__fill", "__inner", share))
     first = hit.groupBy("table_id", "row", "col").agg(F.min("ordinal").alias("fill"), F.min_by("color", "ordinal").alias("color"))
     return cells.select("table_id", "row", "col").join(first, ["table_id", "row", "col"], "left")
+
+
+def table_blocks(cells: DataFrame, spans: DataFrame, borders: DataFrame, shades: DataFrame) -> DataFrame:
+    """(table_id, row, col, row_height, cell): every cell of a grid, with cell null for one that a merge swallows.
+
+    cell is struct(row_span, col_span, x0, y0, x1, y1, fill, border_widths, border_colors): the box of the merged range, the
+    colour of its shading, and widths and colours of its borders (top, right, bottom, left; null without one). cells and spans as from
+    lattice_cells and lattice_spans, borders and shades as from cell_borders and cell_shading over merged boxes. A row is as high as its first cell.
+    """
+    keys = ["table_id", "row", "col"]
+    rows = cells.select(*keys, "x0", "y0", "x1", "y1").join(spans, keys)
+    ends = rows.select("table_id", F.col("row").alias("__r"), F.col("col").alias("__c"), F.col("x1").alias("__x1"), F.col("y1").alias("__y1"))
+    last = (F.col("__r") == F.col("row") + F.col("row_span") - 1) & (F.col("__c") == F.col("col") + F.col("col_span") - 1)
+    merged = rows.join(ends, "table_id").where((F.col("row_span") > 0) & last).select(*keys, "__x1", "__y1")
+    names = ("top", "right", "bottom", "left")
+    pick = lambda value: F.array(*[F.max(F.when(F.col("side") == s, F.col(value))) for s in names])
+    edges = borders.groupBy(*keys).agg(pick("width").alias("border_widths"), pick("color").alias("border_colors"))
+    first = F.min_by(F.col("y1") - F.col("y0"), "col").over(Window.partitionBy("table_id", "row"))
+    out = rows.withColumn("row_height", first).join(merged, keys, "left").join(edges, keys, "left").join(shades.select(*keys, F.col("color").alias("fill")), keys, "left")
+    cell = F.struct("row_span", "col_span", "x0", "y0", F.col("__x1").alias("x1"), F.col("__y1").alias("y1"), "fill", "border_widths", "border_colors")
+    return out.select(*keys, "row_height", F.when(F.col("row_span") > 0, cell).alias("cell"))

@@ -757,4 +757,4 @@ def file_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.accepted(e.select(value.alias("value"))).select("id", "route", "bytes")
 
 
-from . import pages  # noqa: E402,F401  (adds its queries to those above)
+from . import layout, pages  # noqa: E402,F401  (add their queries to those above)
