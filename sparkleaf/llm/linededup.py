@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOR_DOCS, U64, WORD_SPACE, Payload, as_bytes, blob_column, bounds, by_document, documents, for_docs, partitions, row_type, sliced, unblob
+from .common import FOR_DOCS, U64, WORD_SPACE, Payload, as_bytes, blob_column, bounds, by_document, documents, for_docs, partitions, releasing, row_type, sliced, unblob
 
 KEY = "S16"
 #: Runs of a level before they are compacted.
@@ -144,7 +144,7 @@ def lost_lines(docs: DataFrame, min_chars: int = 10, fanout: int = FANOUT) -> Da
                     yield _lost(*lost, parts)
 
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    lost = rows.mapInArrow(local, _ROW).repartitionById(parts, F.col("part")).mapInArrow(merged, _ROW)
+    lost = rows.mapInArrow(releasing(local), _ROW).repartitionById(parts, F.col("part")).mapInArrow(releasing(merged), _ROW)
     return by_document(lost.drop("own"), parts, KEY).select("doc_id", "found")
 
 
@@ -180,4 +180,4 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, fanout: int = FANOUT) -> D
             text = pa.array(raw, pa.binary()).cast(pa.string()) if any(dropped) else column
             yield pa.RecordBatch.from_arrays([batch.column("row"), text, pa.array(n_lines, pa.int64()), pa.array(dropped, pa.int64())], ["row", "text", "n_lines", "n_dropped"])
 
-    return row.mapInArrow(rewrite, schema).select(*held.back(text=F.col("text")), "n_lines", "n_dropped")
+    return row.mapInArrow(releasing(rewrite), schema).select(*held.back(text=F.col("text")), "n_lines", "n_dropped")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, as_bytes, blob_column, bounds, discard, mixed, parts_for, rolled, settle, sliced, unblob
+from .common import U64, WordHashes, as_bytes, blob_column, bounds, discard, mixed, parts_for, releasing, rolled, settle, sliced, unblob
 from .components import components
 
 SLOTS, SEED = 1 << 20, 20
@@ -95,7 +95,7 @@ def signed(docs: DataFrame, shingle_words: int, rows: int, bands: int) -> DataFr
                 keys[i], digests[i], short[i] = key.tobytes(), xxhash.xxh3_128_digest(sets[i].tobytes()), low.tobytes()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, sets), pa.int64()), *(pa.array(x, pa.binary()) for x in (digests, short, keys))], ["doc_id", "n_shingles", "digest", "short", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sign, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(releasing(sign), schema)
 
 
 def _dealt(keys: np.ndarray, values: list[np.ndarray], parts: int) -> pa.RecordBatch:
@@ -174,8 +174,8 @@ def bucket_pairs(reps: DataFrame, parts: int) -> DataFrame:
         _, _, a, b = _stars(np.concatenate(keys), np.concatenate(ids))
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    dealt = reps.select("doc_id", "keys").mapInArrow(local, _ENTRY)
-    return dealt.repartitionById(parts, F.col("part")).mapInArrow(merged, "a long, b long").distinct()
+    dealt = reps.select("doc_id", "keys").mapInArrow(releasing(local), _ENTRY)
+    return dealt.repartitionById(parts, F.col("part")).mapInArrow(releasing(merged), "a long, b long").distinct()
 
 
 def open_buckets(members: DataFrame, parts: int) -> DataFrame:
@@ -200,8 +200,8 @@ def open_buckets(members: DataFrame, parts: int) -> DataFrame:
             again = keys[1:][keys[1:] == keys[:-1]]
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(again).view(np.int64))], ["key"])
 
-    dealt = members.select("component", "keys").mapInArrow(local, _ENTRY)
-    return dealt.repartitionById(parts, F.col("part")).mapInArrow(merged, "key long")
+    dealt = members.select("component", "keys").mapInArrow(releasing(local), _ENTRY)
+    return dealt.repartitionById(parts, F.col("part")).mapInArrow(releasing(merged), "key long")
 
 
 def alike(a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
@@ -232,7 +232,7 @@ def sifted(pairs: DataFrame, about: DataFrame, least: int, percent: int) -> Data
 
     left = about.select(F.col("id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("short").alias("short_a"))
     right = about.select(F.col("id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("short").alias("short_b"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(check, "a long, b long").distinct()
+    return pairs.join(left, "a").join(right, "b").mapInArrow(releasing(check), "a long, b long").distinct()
 
 
 def cross_tiles(members: DataFrame, rows: int, weight: int) -> DataFrame:
@@ -292,7 +292,7 @@ def alike_in_buckets(reps: DataFrame, groups: DataFrame, open_keys: DataFrame, l
         return _edges(found, ids)
 
     about = reps.select(F.col("doc_id").alias("id"), "n_shingles", "short", "keys").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    members = about.select("id", "component", "keys").mapInArrow(exploded, "set long, id long, component long")
+    members = about.select("id", "component", "keys").mapInArrow(releasing(exploded), "set long, id long, component long")
     members = settle(members.join(open_keys.withColumnRenamed("key", "set"), "set", "left_semi").distinct().withColumn("weight", F.lit(0)), "members")
     tiles = cross_tiles(members, SIFT_ROWS, 1).join(about.select("id", "n_shingles", "short"), "id")
     out = settle(tiles.groupBy("set", "low", "high").applyInArrow(compare, "a long, b long").distinct(), "alike")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Payload, sliced, tokenizer_file
+from .common import Payload, releasing, sliced, tokenizer_file
 from .tokencount import BATCH_BYTES, bpe, bpe_table, cuts_at_spaces
 
 #: Documents of a packing group, on average.
@@ -57,7 +57,7 @@ def tokenize_pieces(docs: DataFrame, max_tokens: int = 2048, tokenizer: str = "b
             blob = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids.astype("<i4")))])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), blob], ["doc_id", "piece", "start", "length", "ids"])
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(releasing(cut), "doc_id long, piece int, start long, length long, ids binary")
 
 
 def best_fit(lengths: np.ndarray, max_tokens: int, max_docs: int, max_attention: int, weights: tuple[float, float, float], by: str = "norm") -> tuple[np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Payload, row_type, sliced
+from .common import Payload, releasing, row_type, sliced
 
 KINDS = ("email", "ip", "card", "phone")
 #: Tags: 0 outside; 1 + 2 * kind begins a span, 2 + 2 * kind continues it.
@@ -508,4 +508,4 @@ def mask(df: DataFrame, text_col: str = "text", tagger: Tagger | None = None) ->
             texts = [masked_text(t, spans) if spans else t for t, spans in zip(texts, spans_of(model, texts), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
 
-    return row.mapInArrow(masked, f"{row_type(row)}, text string").select(*held.back(**{text_col: F.col("text")}))
+    return row.mapInArrow(releasing(masked), f"{row_type(row)}, text string").select(*held.back(**{text_col: F.col("text")}))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WORD_SPACE, Payload, WordHashes, as_bytes, mixed, row_type, sliced
+from .common import U64, WORD_SPACE, Payload, WordHashes, as_bytes, mixed, releasing, row_type, sliced
 
 #: Largest share of word characters inside n-grams that occur twice or more, by n. Short ones recur in any long text, so that
 #: only texts made of little else are above theirs; from 4 words on the limits lie close to what the base rule lets through.
@@ -100,7 +100,7 @@ def repetition(docs: DataFrame, text_col: str = "text", max_ngram_share: dict[in
             found = [measures(t or b"", hashes_of, lengths) for t in as_bytes(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(list(c), t) for c, t in zip(zip(*found), types, strict=True))], ["row", *names])
 
-    out = row.mapInArrow(measure, schema)
+    out = row.mapInArrow(releasing(measure), schema)
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > int(100 * MAX_WORD_SHARE) * F.col("n_words"))
     bad = F.col("dup_line_chars") > max_line_share * F.col("word_chars")
     for i, n in enumerate(lengths):
