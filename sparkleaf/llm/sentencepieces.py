@@ -16,9 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import TABLE_CHUNKS, ChunkTable
-from .common import SLICE_BYTES, Payload, row_type, sliced, tokenizer_file
+from .chunks import ChunkTable
+from .common import Payload, releasing, row_type, sliced, tokenizer_file
 
+#: Text bytes and ids that are coded at once, and distinct chunks that a worker keeps: a task has a worker to encode and one to decode.
+SLICE_BYTES, SLICE_IDS, TABLE_CHUNKS = 1 << 20, 1 << 18, 300_000
 MARK = "▁"
 _MARKED = re.compile(f"[ {MARK}]*[^ {MARK}\n]+|[ {MARK}]+|\n")
 
@@ -51,13 +53,16 @@ def table_of(path: str) -> ChunkTable:
     def make(chunks: list[str]) -> list[bytes]:
         return [np.array(ids[head:], "<i4").tobytes() for ids in sp.encode(["\n" + c for c in chunks], num_threads=1)]
 
-    return ChunkTable(make, lambda c: c == " " or MARK in c, cut_soundly, lead=" ")
+    return ChunkTable(make, lambda c: c == " " or MARK in c, cut_soundly, lead=" ", rows=TABLE_CHUNKS)
 
 
 def _mapped(df: DataFrame, read_col: str, read_type: str, out_col: str, out_type: str, made) -> DataFrame:
+    """df with out_col by `made` over batches (row, value). A column that is read as it is goes to the worker once, as value."""
     held = Payload(df, (out_col,))
-    row = held.df.select(held.row(), held[read_col].cast(read_type).alias("value"))
-    return row.mapInArrow(made, f"{row_type(row)}, made {out_type}").select(*held.back(), F.col("made").alias(out_col))
+    once = held.place(read_col) in held.kept and df.dtypes[held.place(read_col)][1] == read_type
+    row = held.df.select(held.row(*[read_col] * once), held[read_col].cast(read_type).alias("value"))
+    out = row.mapInArrow(releasing(made), f"{row_type(row)}, value {read_type}, made {out_type}")
+    return out.select(*held.back(**{read_col: F.col("value")} if once else {}), F.col("made").alias(out_col))
 
 
 def encode(df: DataFrame, text_col: str = "text", model: str = "piece_bpe_32k.model", out_col: str = "ids", end: bool = True, slice_bytes: int = SLICE_BYTES) -> DataFrame:
@@ -76,12 +81,12 @@ def encode(df: DataFrame, text_col: str = "text", model: str = "piece_bpe_32k.mo
             if end:
                 ids, ends = np.insert(ids, ends[1:], last[0]), ends + np.arange(len(ends))
             out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), out], ["row", "made"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("value"), out], ["row", "value", "made"])
 
     return _mapped(df, text_col, "string", out_col, "array<int>", made)
 
 
-def decode(df: DataFrame, ids_col: str = "ids", model: str = "piece_bpe_32k.model", out_col: str = "decoded", slice_ids: int = 1 << 21) -> DataFrame:
+def decode(df: DataFrame, ids_col: str = "ids", model: str = "piece_bpe_32k.model", out_col: str = "decoded", slice_ids: int = SLICE_IDS) -> DataFrame:
     """All columns of df, and the string that the library decodes from the ids.
 
     Ids are cut before each marked word, distinct id chunks are decoded once and their texts are joined by position. Null
@@ -137,7 +142,8 @@ def decode(df: DataFrame, ids_col: str = "ids", model: str = "piece_bpe_32k.mode
             while start < len(column):
                 done = sizes[start - 1] if start else 0
                 stop = max(start + 1, int(np.searchsorted(sizes, done + slice_ids, "right")))
-                yield pa.RecordBatch.from_arrays([batch.column("row").slice(start, stop - start), texts_of(column.slice(start, stop - start))], ["row", "made"])
+                part = batch.slice(start, stop - start)
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("value"), texts_of(part.column("value"))], ["row", "value", "made"])
                 start = stop
 
     return _mapped(df, ids_col, "array<int>", out_col, "string", made)

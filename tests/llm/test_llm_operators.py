@@ -87,6 +87,21 @@ def test_sentencepiece_round_trip(spark, texts):
     assert [r["decoded"] for r in sentencepieces.decode(odd).orderBy("doc_id").collect()] == ["", "", sp.decode([264, 2])]
 
 
+def test_sentencepiece_sends_what_it_reads_once(spark):
+    """Texts and ids went to the workers twice, in the row and as the value, which took an executor over its memory."""
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    coded = sentencepieces.encode(docs)
+    for df, read in ((coded, "text"), (sentencepieces.decode(coded), "ids")):
+        plan = df._jdf.queryExecution().analyzed().toString()
+        sent = re.search(r"struct\((.*?)\) AS row", plan)[1]
+        assert f"c{(df.columns.index(read))}" not in re.findall(r"\w+", sent)
+        assert df.columns[: df.columns.index(read) + 1] == [*docs.columns, "ids"][: df.columns.index(read) + 1]
+    assert [(r["text"], r["decoded"]) for r in sentencepieces.decode(coded).orderBy("doc_id").collect()] == [("a b", "a b"), (None, "")]
+    numbers = sentencepieces.encode(spark.createDataFrame([(7,)], "text long"))
+    assert numbers.dtypes[0] == ("text", "bigint") and numbers.first()["text"] == 7
+    assert sentencepieces.encode(docs, out_col="text").orderBy("doc_id").collect()[1]["text"] == [2]
+
+
 # ---- packing
 
 
