@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry
+from . import charstyles
 from .grouped import numbered
 
 PAGE = ["doc_id", "page"]
@@ -260,23 +261,21 @@ def styled_spans(spans: DataFrame, shapes: DataFrame) -> DataFrame:
 
     spans: (doc_id, page, line_no, span_no, chars array<struct<c, box>>); shapes: (doc_id, page, ordinal, box). A character belongs to
     a shape that covers half of its width and meets its height. Low shapes (less than half as high as the character) strike
-    if they cross its middle half and underline below it; higher ones highlight. The first shape by ordinal decides.
+    if they cross its middle half and underline below it; higher ones highlight. The first shape by ordinal decides. Spans go to
+    the join packed (see charstyles), not as a row for each character; the keys tell spans apart.
     """
     keys = [*PAGE, "line_no", "span_no"]
-    chars = spans.select(*keys, F.posexplode("chars").alias("pos", "ch")).select(*keys, "pos", F.col("ch.c").alias("c"), F.col("ch.box").alias("box"))
-    zones = shapes.select(*PAGE, F.col("ordinal").alias("__o"), F.col("box").alias("__z"))
-    wide = F.least("box.x1", "__z.x1") - F.greatest("box.x0", "__z.x0") >= 0.5 * (F.col("box.x1") - F.col("box.x0"))
-    high = (F.least("box.y1", "__z.y1") >= F.greatest("box.y0", "__z.y0")) & (F.col("box.x1") > F.col("box.x0"))
-    height = F.col("box.y1") - F.col("box.y0")
-    below = (F.col("__z.y0") + F.col("__z.y1")) / 2 - F.col("box.y0")
-    style = F.when(F.col("__z.y1") - F.col("__z.y0") >= 0.5 * height, "highlight").when(below > 0.75 * height, "underline").when(below >= 0.25 * height, "strike")
-    hit = chars.join(zones, PAGE).where(wide & high).groupBy(*keys, "pos").agg(F.min_by(style, "__o").alias("style"))
-    rows = chars.join(hit, [*keys, "pos"], "left")
-    w = Window.partitionBy(*keys).orderBy("pos")
-    new = F.when(F.lag("pos").over(w).isNull() | ~F.col("style").eqNullSafe(F.lag("style").over(w)), 1).otherwise(0)
-    rows = rows.withColumn("__new", new).withColumn("part", F.sum("__new").over(w))
-    parts = rows.groupBy(*keys, "part").agg(F.first("style").alias("style"), F.array_sort(F.collect_list(F.struct("pos", "c"))).alias("p"))
-    return parts.select(*keys, "part", "style", F.array_join(F.transform("p", lambda x: x["c"]), "").alias("text"))
+    typed = ", ".join(f"{k} {kind}" for k, kind in spans.select(*keys).dtypes)
+    packed = spans.select(*keys, "chars").mapInArrow(charstyles.packed, f"{typed}, {charstyles.PACKED}")
+    zones = shapes.where("ordinal IS NOT NULL").groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("ordinal", "box"))).alias("__z"))
+
+    def near(z: Column) -> Column:
+        b = z["box"]
+        return F.coalesce((b["x1"] >= F.col("x0")) & (b["x0"] <= F.col("x1")) & (b["y1"] >= F.col("y0")) & (b["y0"] <= F.col("y1")), F.lit(True))
+
+    boxes = F.transform(F.filter("__z", near), lambda z: F.struct(*[z["box"][s].cast("double").alias(s) for s in charstyles.SIDES]))
+    rows = packed.join(zones, PAGE, "left").select(*keys, "n", "text", "ends", "boxes", boxes.alias("zones"))
+    return rows.mapInArrow(charstyles.cut, f"{typed}, {charstyles.CUT}")
 
 
 def sections(lines: DataFrame, gap: float = 1.0, least_height: float = 20.0) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkleaf.functions import text as text_functions
 from sparkleaf.operators import blocks as page_blocks
-from sparkleaf.operators import evaluate, relations, spatial, standard, tables, tree, votes
+from sparkleaf.operators import charstyles, evaluate, relations, spatial, standard, tables, tree, votes
 from sparkleaf.sources import adapters, files, sinks
 from sparkleaf.streaming import events
 
@@ -237,6 +237,75 @@ def test_styled_spans(spark):
     got = [(r["text"], r["style"]) for r in spatial.styled_spans(spans, shapes).orderBy("part").collect()]
     assert got == [("ab", None), ("cd", "underline"), ("e", None), ("f", "highlight")]
 
+SPANS = f"doc_id long, page int, line_no int, span_no int, chars array<struct<c:string,box:{BOX}>>"
+
+
+def plain_styles(chars, shapes):
+    """Parts of one span, a character and a shape at a time."""
+    least, most = (lambda *x: min([v for v in x if v is not None], default=None)), (lambda *x: max([v for v in x if v is not None], default=None))
+    parts = []
+    for ch in chars:
+        c, box = ch or (None, None)
+        style = None
+        for _, z in sorted((s for s in shapes if s[0] is not None), key=lambda s: s[0]):
+            z = z or (None,) * 4
+            if box is None or None in box or not box[2] > box[0] or least(box[2], z[2]) - most(box[0], z[0]) < 0.5 * (box[2] - box[0]) or least(box[3], z[3]) < most(box[1], z[1]):
+                continue
+            height = box[3] - box[1]
+            if None not in (z[1], z[3]):
+                below = (z[1] + z[3]) / 2 - box[1]
+                style = "highlight" if z[3] - z[1] >= 0.5 * height else "underline" if below > 0.75 * height else "strike" if below >= 0.25 * height else None
+            break
+        if not parts or parts[-1][0] != style:
+            parts.append([style, ""])
+        parts[-1][1] += c or ""
+    return [tuple(p) for p in parts]
+
+
+def test_styled_spans_against_plain_styles(spark):
+    rng = random.Random(8)
+    spans, shapes = [], []
+    for page in range(20):
+        for k in rng.sample(range(20), rng.randint(0, 8) if page else 0):
+            x, y = rng.uniform(-5, 50), rng.uniform(0, 50)
+            z = [x, y, x + rng.uniform(0, 40), y + rng.choice([0.5, 2, 9, 12])]
+            if rng.random() < 0.15:
+                z[rng.randrange(4)] = None
+            shapes.append((1, page, rng.choice([k, k, k, None]), tuple(z) if rng.random() < 0.95 else None))
+        for line in range(5):
+            x, chars = 0.0, []
+            for _ in range(rng.choice([0, 1, 30, 40])):
+                w = rng.choice([5.0, 0.1, 3.3, 0.0]) if line % 2 else 2.0
+                c = rng.choice(["a", "é", "日", "😀", "ﬁ", " ", *(["fi", "", None] if line > 2 else [])])
+                box = (x, 12.0 * line, x + w, 12.0 * line + 10) if line < 4 or rng.random() < 0.8 else rng.choice([None, (x, None, x + w, 9.0)])
+                chars.append((c, box) if line < 4 or rng.random() < 0.9 else None)
+                x += w
+            spans.append((1, page, line, 0, chars if chars or line else None))
+    spans += [(None, 1, 0, 0, [("n", (0.0, 0.0, 9.0, 9.0))]), (2, 0, 0, 0, [(None, None)]), (2, 0, 1, 0, [("", (0.0, 0.0, 1.0, 1.0))] * 2)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = spatial.styled_spans(spark.createDataFrame(spans, SPANS), spark.createDataFrame(shapes, f"doc_id long, page int, ordinal int, box {BOX}")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {}
+    for r in sorted(found, key=lambda r: r["part"]):
+        parts = got.setdefault((r["doc_id"], r["page"], r["line_no"]), [])
+        assert r["part"] == len(parts) + 1
+        parts.append((r["style"], r["text"]))
+    assert got == {s[:3]: plain_styles(s[4], [z[2:] for z in shapes if z[:2] == s[:2]]) for s in spans if s[4]}
+    assert len({style for parts in got.values() for style, _ in parts}) == 4
+
+
+def test_styled_spans_pack_characters(spark):
+    """A row for each character went through four exchanges, with its box; now a span is one row of about its text's size."""
+    spans = spark.createDataFrame([(1, 0, 0, 0, [("x", (72.0 + 2 * i, 72.0, 74.0 + 2 * i, 84.0)) for i in range(1000)])], SPANS)
+    shapes = spark.createDataFrame([(1, 0, 0, (82.0, 83.0, 102.0, 84.0))], f"doc_id long, page int, ordinal int, box {BOX}")
+    rows = spatial.styled_spans(spans, shapes)
+    assert "explode" not in rows._jdf.queryExecution().analyzed().toString()
+    assert [(r["style"], len(r["text"])) for r in rows.orderBy("part").collect()] == [(None, 5), ("underline", 10), (None, 985)]
+    packed = next(charstyles.packed(iter(spans.toArrow().to_batches())))
+    assert packed.column("ends").null_count == 1 and len(packed.column("boxes")[0].as_py()) < 500
+
 
 def test_sections(spark):
     rows = [(1, 0, 0, (0.0, 0.0, 100.0, 10.0))]
